@@ -164,11 +164,11 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int):
     for i in range(width):
         rolled += h[i:i + len(rolled)] * odd[i]
     rolled = mix(rolled)
-    for a, b in zip(at[:-1], at[1:], strict=True):
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= width:
             yield np.unique(rolled[a:b - width + 1])
         elif b > a:
-            yield mix(np.array([sum(int(h[a + i]) * int(odd[i]) for i in range(b - a)) + 0x51ED27 * (b - a) & 0xFFFFFFFFFFFFFFFF], U64))
+            yield mix(np.array([(sum(int(h[a + i]) * int(odd[i]) for i in range(b - a)) + 0x51ED27 * (b - a)) & 0xFFFFFFFFFFFFFFFF], U64))
         else:
             yield np.zeros(0, U64)
 

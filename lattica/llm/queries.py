@@ -48,3 +48,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.packing import pack
 
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+@_query
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
