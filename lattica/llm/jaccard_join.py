@@ -14,7 +14,9 @@ The Jaccard distance of shingle sets is a metric. The join goes down through reg
 3. Inside a coarse region documents serve as pivots: a pivot links all documents within ``eps`` at
    once; they serve as pivots in turn against those not linked yet, and only against documents whose
    distance to the first pivot differs by at most ``eps``, and whose size allows a link.
-   Coarse regions too large for a task are first split by document pivots; a document enters the
+   A region first repeats step 1 with its own order, its rarest shingles first, which takes it apart.
+   Coarse regions too large for a task do the same among themselves, and what is then too large is
+   split by document pivots; a document enters the
    region of each pivot that is at most ``2 eps`` farther than its nearest one. Regions in which all
    documents are linked to the pivot are done. What stays too large is joined block by block.
 
@@ -42,12 +44,14 @@ from lattica.llm.components import connected_components
 
 #: Shingle hashes below 2**SAMPLE_BITS (a quarter of all values) are tested for being in one text only.
 SAMPLE_BITS = 62
-#: Bits of the bitmap of shared shingles: so many a document, and at most.
-BITS_PER_DOC, MAX_BITS = 512, 1 << 29
+#: Slots of 2 bits for shared shingles: so many a document, and at most (64 MB).
+SLOTS_PER_DOC, MAX_SLOTS = 512, 1 << 28
+#: From so many sets on a shingle is common, or frequent; it then stands later in the order.
+COMMON, FREQUENT = 8, 64
 #: Documents a range of hashes is made for.
 DOCS_PER_RANGE = 8192
 #: Shingles that a task joins at once; larger coarse regions are split.
-LEAF_SHINGLES = 4_000_000
+LEAF_SHINGLES = 6_000_000
 PIVOTS, ROUNDS = 8, 3
 
 
@@ -62,6 +66,12 @@ def _block_sets(batch_text, width: int):
         yield from shingle_sets(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], width)
 
 
+def _stored_sets(batch):
+    raw, offsets = utf8(batch.column(0))
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield raw[a:b].view(U64)
+
+
 def _set_key(u: np.ndarray) -> int:
     """One number for a set; equal sets have equal numbers."""
     return int((mix(u).sum(dtype=U64) + U64(len(u)) * U64(0x9E3779B97F4A7C15)).astype(np.int64)) if len(u) else 0
@@ -71,31 +81,37 @@ def _slot(h: np.ndarray, bits: int) -> np.ndarray:
     return (mix(h) & U64(bits - 1)).astype(np.int64)
 
 
-def shared_shingles(docs: DataFrame, width: int, ranges: int, bits: int) -> bytes:
-    """Bitmap, compressed by range, of the sampled shingles that two or more different sets hold."""
-    shift, per = U64(SAMPLE_BITS - (ranges - 1).bit_length()), bits // ranges
+def _capped(h: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (hash, tag), sorted; of one hash ``FREQUENT`` tags are enough to tell its class."""
+    order = np.lexsort((tag, h))
+    h, tag = h[order], tag[order]
+    fresh = np.r_[True, (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])] if len(h) else np.zeros(0, bool)
+    h, tag = h[fresh], tag[fresh]
+    few = np.ones(len(h), bool)
+    few[FREQUENT:] = h[FREQUENT:] != h[:-FREQUENT]
+    return h[few], tag[few]
+
 
-    def two_tags(h, tag):
-        order = np.lexsort((tag, h))
-        h, tag = h[order], tag[order]
-        fresh = np.r_[True, (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])]
-        h, tag = h[fresh], tag[fresh]
-        third = np.r_[False, False, h[2:] == h[:-2]] if len(h) > 2 else np.zeros(len(h), bool)
-        return h[~third], tag[~third]
+def shared_shingles(sets: DataFrame, read, sample: int, ranges: int, slots: int) -> bytes:
+    """How many different sets hold each sampled shingle: 2 bits a slot, compressed.
+
+    0: one set; 1: fewer than ``COMMON``; 2: fewer than ``FREQUENT``; 3: more. Slots that several
+    shingles share have the largest of their classes. ``read`` yields the sets of a batch.
+    """
+    shift, per = U64(sample - (ranges - 1).bit_length()), slots // ranges
 
     def local(batches):
-        limit = U64(1 << SAMPLE_BITS)
         for batch in batches:
             hs, tags = [], []
-            for u in _block_sets(batch.column(0), width):
-                part = u[:np.searchsorted(u, limit)]
+            for u in read(batch):
+                part = u[:_sampled(u, sample)]
                 hs.append(part)
                 tags.append(np.full(len(part), _set_key(u) & 0xFFFFFFFF, np.uint32))
             if not hs:
                 continue
-            h, tag = two_tags(np.concatenate(hs), np.concatenate(tags))
+            h, tag = _capped(np.concatenate(hs), np.concatenate(tags))
             r = (h >> shift).astype(np.int64)
-            at = np.flatnonzero(np.r_[True, r[1:] != r[:-1], True]) if len(r) else [0]
+            at = np.flatnonzero(np.r_[True, r[1:] != r[:-1], True]) if len(r) else np.zeros(1, np.int64)
             blobs = [h[a:b].tobytes() + tag[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({"r": pa.array(r[at[:-1]] if len(r) else [], pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
@@ -106,50 +122,88 @@ def shared_shingles(docs: DataFrame, width: int, ranges: int, bits: int) -> byte
             n = len(data) // 12
             hs.append(np.frombuffer(data, U64, n))
             tags.append(np.frombuffer(data, np.uint32, n, 8 * n))
-        h, _ = two_tags(np.concatenate(hs), np.concatenate(tags))
-        hit = np.zeros(per, bool)
-        hit[_slot(h[1:][h[1:] == h[:-1]], per)] = True
-        return pa.table({"r": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([zlib.compress(np.packbits(hit).tobytes(), 1)], pa.binary())})
-
-    found = docs.select("text").mapInArrow(local, "r long, blob binary").groupBy("r").applyInArrow(merge, "r long, bits binary")
-    out = np.zeros(bits // 8, np.uint8)
+        h, _ = _capped(np.concatenate(hs), np.concatenate(tags))
+        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        n = np.diff(np.r_[at, len(h)])
+        kind = (n > 1).astype(np.uint8) + (n >= COMMON) + (n >= FREQUENT)
+        level = np.zeros(per, np.uint8)
+        slot = _slot(h[at], per)
+        for k in (1, 2, 3):
+            level[slot[kind == k]] = k
+        packed = (level.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
+        return pa.table({"r": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([zlib.compress(packed.tobytes(), 1)], pa.binary())})
+
+    found = sets.mapInArrow(local, "r long, blob binary").groupBy("r").applyInArrow(merge, "r long, bits binary")
+    out = np.zeros(slots // 4, np.uint8)
     for row in found.toLocalIterator():
         part = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
-        out[row["r"] * (per // 8):row["r"] * (per // 8) + len(part)] = part
+        out[row["r"] * (per // 4):row["r"] * (per // 4) + len(part)] = part
     return zlib.compress(out.tobytes(), 1)
 
 
-def _windows(docs: DataFrame, width: int, num: int, den: int, packed, ranges: int, bits: int) -> DataFrame:
+def _sampled(u: np.ndarray, sample: int) -> int:
+    return len(u) if sample == 64 else int(np.searchsorted(u, U64(1 << sample)))
+
+
+def _window(u: np.ndarray, levels: np.ndarray, sample: int, shift: U64, per: int, num: int, den: int) -> np.ndarray | None:
+    """The shared shingles among the first ``n - need + 1`` in the order; None if the set has no partner.
+
+    The order: sampled shingles of one set, sampled shared ones by class, the others; then by hash.
+    """
+    most = len(u) - _need(len(u), num, den) + 1
+    part = u[:_sampled(u, sample)]
+    slot = (part >> shift).astype(np.int64) * per + _slot(part, per)
+    level = (levels[slot >> 2] >> ((slot & 3) * 2).astype(np.uint8)) & 3
+    own = int((level == 0).sum())
+    if own >= most:
+        return None
+    ranked = [part[level == k] for k in (1, 2, 3)]
+    return np.concatenate([*ranked, u[len(part):]])[:most - own]
+
+
+def _windows(docs: DataFrame, width: int, num: int, den: int, packed, ranges: int, slots: int) -> DataFrame:
     """(doc_id, key, n) of every document; for those that may have a partner also the window and the set."""
-    shift, per = U64(SAMPLE_BITS - (ranges - 1).bit_length()), bits // ranges
+    shift, per = U64(SAMPLE_BITS - (ranges - 1).bit_length()), slots // ranges
 
     def run(batches):
-        shared, limit, seen = np.frombuffer(zlib.decompress(packed.value), np.uint8), U64(1 << SAMPLE_BITS), set()
+        levels, seen = np.frombuffer(zlib.decompress(packed.value), np.uint8), set()
         for batch in batches:
             keys, sizes, window, sets = [], [], [], []
             for u in _block_sets(batch.column(1), width):
-                n, key = len(u), _set_key(u)
+                key = _set_key(u)
+                first = _window(u, levels, SAMPLE_BITS, shift, per, num, den) if len(u) and key not in seen else None
                 keys.append(key)
-                sizes.append(n)
-                window.append(None)
-                sets.append(None)
-                if not n or key in seen:
-                    continue
-                most = n - _need(n, num, den) + 1
-                part = u[:np.searchsorted(u, limit)]
-                slot = (part >> shift).astype(np.int64) * per + _slot(part, per)
-                hit = (shared[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
-                own = len(part) - int(hit.sum())
-                if own >= most:
-                    continue
-                seen.add(key)
-                window[-1] = np.concatenate([part[hit], u[len(part):]])[:most - own].tobytes()
-                sets[-1] = u.tobytes()
+                sizes.append(len(u))
+                window.append(None if first is None else first.tobytes())
+                sets.append(None if first is None else u.tobytes())
+                if first is not None:
+                    seen.add(key)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(window, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "key", "n", "window", "shingles"])
 
     return docs.mapInArrow(run, "doc_id long, key long, n long, window binary, shingles binary")
 
 
+def _narrow(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Regions anew for members of regions that are too large: all their shingles, counted among them alone."""
+    spark = members.sparkSession
+    rows = members.count()
+    ranges, slots = max(16, pow2(rows / DOCS_PER_RANGE * 4)), min(MAX_SLOTS, max(1 << 20, pow2(rows * SLOTS_PER_DOC * 4)))
+    packed = spark.sparkContext.broadcast(shared_shingles(members.select("shingles"), _stored_sets, 64, ranges, slots))
+    shift, per = U64(64 - (ranges - 1).bit_length()), slots // ranges
+
+    def run(batches):
+        levels = np.frombuffer(zlib.decompress(packed.value), np.uint8)
+        for batch in batches:
+            sets = list(_stored_sets(batch.select([1])))
+            windows = [_window(u, levels, 64, shift, per, num, den) for u in sets]
+            kept = [i for i, w in enumerate(windows) if w is not None]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array([len(sets[i]) for i in kept], pa.int64()), pa.array([windows[i].tobytes() for i in kept], pa.binary())], ["key", "n", "window"])
+
+    wide = members.select("key", "shingles").mapInArrow(run, "key long, n long, window binary")
+    found = connected_components(_coarse_edges(wide, num, den)).select(F.col("node").alias("key"), F.concat(F.lit("r"), F.col("component").cast("string")).alias("region"))
+    return members.select("key", "shingles").join(found, "key")
+
+
 def _coarse_edges(wide: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) that connect all documents which share a region and whose sizes allow a link.
 
@@ -235,13 +289,54 @@ def link_sets(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return root
 
 
+def _parts(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row that each of ``m`` rows is connected with through edges (a, b)."""
+    part = np.arange(m)
+    while True:
+        low = np.minimum(part[a], part[b])
+        before = part.copy()
+        np.minimum.at(part, part[a], low)
+        np.minimum.at(part, part[b], low)
+        while not np.array_equal(part, part[part]):
+            part = part[part]
+        if np.array_equal(part, before):
+            return part
+
+
+def link_region(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """``link_sets`` for many sets: one-shingle pivots once more, rarest of this region first, then pivots."""
+    m = len(sets)
+    if m <= 16:
+        return link_sets(sets, num, den)
+    n = np.array([len(s) for s in sets], np.int64)
+    _, ids, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), n)
+    order = np.lexsort((ids, df[ids], row))
+    nth = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+    keep = (nth < np.repeat(n - _need(n, num, den) + 1, n)) & (df[ids[order]] > 1)
+    shingle, row = ids[order][keep], row[keep]
+    size = np.floor(np.log(n) / (np.log(den / num) * 1.01)).astype(np.int64)[row]
+    order = np.lexsort((size, shingle))
+    shingle, size, row = shingle[order], size[order], row[order]
+    near = (shingle[1:] == shingle[:-1]) & (size[1:] - size[:-1] <= 1)
+    part = _parts(m, row[:-1][near], row[1:][near])
+    root = np.arange(m)
+    by_part = np.argsort(part, kind="stable")
+    at = np.flatnonzero(np.r_[True, part[by_part][1:] != part[by_part][:-1], True])
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if b - a > 1:
+            rows = by_part[a:b]
+            root[rows] = rows[link_sets([sets[i] for i in rows], num, den)]
+    return root
+
+
 def _join_regions(members: DataFrame, num: int, den: int) -> DataFrame:
     """(key, root) of the documents of each region that are linked with others; members: region, key, shingles."""
     def run(batches):
         region, keys, sets = None, [], []
 
         def close():
-            root = link_sets(sets, num, den)
+            root = link_region(sets, num, den)
             k = np.array(keys, np.int64)
             moved = np.flatnonzero(root != np.arange(len(k)))
             return pa.RecordBatch.from_arrays([pa.array(k[moved]), pa.array(k[root[moved]])], ["a", "b"])
@@ -340,9 +435,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = slim.count()
-    ranges, bits = max(16, pow2(rows / DOCS_PER_RANGE)), min(MAX_BITS, max(1 << 20, pow2(rows * BITS_PER_DOC)))
-    packed = spark.sparkContext.broadcast(shared_shingles(slim, width, ranges, bits))
-    table = materialize(_windows(slim, width, num, den, packed, ranges, bits))
+    ranges, slots = max(16, pow2(rows / DOCS_PER_RANGE)), min(MAX_SLOTS, max(1 << 20, pow2(rows * SLOTS_PER_DOC)))
+    packed = spark.sparkContext.broadcast(shared_shingles(slim.select("text"), lambda batch: _block_sets(batch.column(0), width), SAMPLE_BITS, ranges, slots))
+    table = materialize(_windows(slim, width, num, den, packed, ranges, slots))
     wide = table.where("window IS NOT NULL")
     coarse = connected_components(_coarse_edges(wide, num, den)).select(F.col("node").alias("key"), F.col("component").cast("string").alias("region"))
     coarse = materialize(coarse)
@@ -352,7 +447,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _join_regions(members.join(large, "region", "left_anti"), num, den)
     if not large.isEmpty():
         big = materialize(members.join(large, "region", "left_semi").groupBy("region", "key").agg(F.first("shingles").alias("shingles")))
-        links = links.unionByName(_join_large(big, num, den, leaf))
+        big = materialize(_narrow(big, num, den))
+        sizes = big.groupBy("region").agg(F.sum(F.length("shingles") / 8).alias("total"))
+        still = materialize(sizes.where(F.col("total") > leaf).select("region"))
+        links = links.unionByName(_join_regions(big.join(still, "region", "left_anti"), num, den))
+        if not still.isEmpty():
+            links = links.unionByName(_join_large(big.join(still, "region", "left_semi"), num, den, leaf))
         roots = connected_components(links)
     else:
         links = materialize(links)
