@@ -173,9 +173,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int):
             yield np.zeros(0, U64)
 
 
-def in_crc(df: DataFrame, id_col: str, modulo: int, rest: int, equal: bool):
+def in_crc(id_col: str, modulo: int, rest: int, equal: bool):
     """crc32 of the id as text, modulo ``modulo``, is (or is not) ``rest``; a null id counts as not held out."""
-    held = F.coalesce(F.crc32(df[id_col].cast("string").cast("binary")) % modulo == rest, F.lit(False))
+    held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulo == rest, F.lit(False))
     return held if equal else ~held
 
 
