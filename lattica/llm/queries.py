@@ -96,3 +96,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.quality_classifier import quality_scores
 
     return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
