@@ -103,3 +103,31 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.toxicity import toxicity_scores
 
     return toxicity_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@_query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.html_extraction import main_texts
+
+    return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@_query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.line_dedup import drop_boilerplate
+
+    return drop_boilerplate(spark.read.parquet(f"{sf_dir}/documents.parquet"), host="source").select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
+ORACLE_SQL["op1_line_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), x AS (
+  SELECT r, doc_id, source, i, l[i] AS line, trim(l[i], ' ' || chr(9) || chr(13)) AS k FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d)
+), b AS (
+  SELECT source, k FROM x JOIN (SELECT source, count(*) AS pages FROM d GROUP BY source) p USING (source)
+  WHERE k <> '' GROUP BY source, k, pages HAVING count(DISTINCT r) >= 3 AND count(DISTINCT r) > 0.05 * pages
+)
+SELECT doc_id, x.source, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE b.k IS NULL), '') AS text, count(*) AS n_lines, count(b.k) AS n_dropped
+FROM x LEFT JOIN b ON x.source = b.source AND x.k = b.k GROUP BY r, doc_id, x.source
+"""
