@@ -466,3 +466,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = least.where("copies > 1").select("key", "component").unionByName(roots.join(classes.where("copies = 1"), "key", "left_semi").select("key", "component"))
     moved = several.join(named, "component").select("key", "component_id")
     return every.join(moved, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each group of linked documents, that with the smallest doc_id; same columns.
+
+    Only ids are joined against the documents. Rows that repeat a doc_id count as one document, of which
+    one row stays; rows without a doc_id stay.
+    """
+    found = materialize(jaccard_components(docs, id_col, text_col, width, num, den).select("doc_id", (F.col("component_id") == F.col("doc_id")).alias("first")))
+    name = F.col(id_col).cast("long")
+    gone = found.where(~F.col("first")).select("doc_id").distinct().withColumnRenamed("doc_id", "_gone")
+    kept = docs.join(gone, name == F.col("_gone"), "left_anti")
+    twice = materialize(found.where("first").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))
+    if twice.isEmpty():
+        return kept
+    same = name == F.col("_twice")
+    once = kept.join(twice, same, "left_semi").groupBy(id_col).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")).select("_row.*")
+    return kept.join(twice, same, "left_anti").unionByName(once)

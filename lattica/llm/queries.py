@@ -131,3 +131,10 @@ WITH d AS (
 SELECT doc_id, x.source, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE b.k IS NULL), '') AS text, count(*) AS n_lines, count(b.k) AS n_dropped
 FROM x LEFT JOIN b ON x.source = b.source AND x.k = b.k GROUP BY r, doc_id, x.source
 """
+
+
+@_query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.mixing import mix
+
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
