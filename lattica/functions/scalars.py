@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # ---- strings ------------------------------------------------------------------------------------
 
@@ -80,12 +81,15 @@ def split(x: Column, by: str) -> Column:
     return F.split(x, r"\Q" + by + r"\E")
 
 
-@F.pandas_udf("string")
-def folded(x: pd.Series) -> pd.Series:
-    """Lower case without accents, letters and digits only, for text beyond ASCII."""
+def _fold(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t).lower() if c.isalnum()))
 
 
+def folded(x: Column) -> Column:
+    """Lower case without accents, letters and digits only, for text beyond ASCII."""
+    return F.pandas_udf(_fold, StringType())(x)
+
+
 # ---- numbers ------------------------------------------------------------------------------------
 
 
