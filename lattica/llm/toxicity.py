@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import HashTable
-from lattica.llm.common import LOWER, U64, blocks, in_crc, materialize, mix, powers, utf8
+from lattica.llm.common import LOWER, U64, blocks, discard, in_crc, materialize, mix, powers, utf8
 from lattica.llm.quality_classifier import isotonic
 from lattica.llm.textstats import column_matrix, matrix_column, summed
 
@@ -62,7 +62,7 @@ def pattern_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarra
     out = []
     for k in PREFIXES:
         to = ends if not k else np.minimum(starts + k, ends)
-        h = mix((total[to] - total[starts]) * down[starts] + U64(k + 1) * U64(0xD6E8FEB86659FD93)) | U64(1)
+        h = mix((total[to] - total[starts]) * down[starts] + U64((k + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)) | U64(1)
         out.append(h if not k else np.where(ends - starts > k, h, U64(0)))
     return out, np.searchsorted(offsets, starts, side="right") - 1
 
@@ -99,7 +99,8 @@ def find_patterns(docs: DataFrame, y: DataFrame) -> list[int]:
                 yield pa.RecordBatch.from_arrays([pa.array(u[~some].view(np.int64)), pa.array(np.zeros((~some).sum(), np.int64)), pa.array(n[~some])], ["h", "pos", "neg"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = slim.join(sample, "doc_id").select("doc_id", "text", "y")
+    # the sample has about MAX_LABELLED ids at most, so it is broadcast and only its texts are written
+    joined = materialize(slim.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y"))
     totals = joined.agg(F.sum((F.col("y") >= 0.5).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")).first()
     base = max(1, totals["pos"] or 0) / max(1, totals["n"] - (totals["pos"] or 0))
     counts = joined.mapInArrow(run, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -124,8 +125,9 @@ def find_patterns(docs: DataFrame, y: DataFrame) -> list[int]:
                 pairs = np.unique(np.concatenate(pairs), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["place", "text"])
 
-    covers = {r["place"]: set(r["texts"]) for r in joined.mapInArrow(held, "place long, text long").groupBy("place").agg(F.collect_set("text").alias("texts")).collect()}
-    return _cover(candidates, covers, worth, len(seeds))
+    found = {r["place"]: set(r["texts"]) for r in joined.mapInArrow(held, "place long, text long").groupBy("place").agg(F.collect_set("text").alias("texts")).collect()}
+    discard(joined)
+    return _cover(candidates, found, worth, len(seeds))
 
 
 def _cover(candidates: list[int], covers: dict[int, set], worth: dict[int, float], n_seeds: int) -> list[int]:
