@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.sources.shared import cut
+
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", reflexive: bool = True, most: int = 64) -> DataFrame:
     """(descendant, ancestor, distance): every pair once, at its least distance.
@@ -17,7 +19,7 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", refl
     front = found
     for depth in range(2, most):
         after = front.join(e, front.ancestor == e.c).select("descendant", F.col("p").alias("ancestor"), F.lit(depth).alias("distance")).distinct()
-        front = _cut(after.join(found, ["descendant", "ancestor"], "left_anti"))
+        front = cut(after.join(found, ["descendant", "ancestor"], "left_anti"))
         if front.isEmpty():
             break
         found = found.unionByName(front)
@@ -28,16 +30,6 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", refl
     return own.unionByName(found.where("descendant <> ancestor"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's folder; without one, as in small local runs, the plan is kept."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        return df
-    spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
-
-
 def below(tree: DataFrame, node: str) -> DataFrame:
     return tree.where(F.col("ancestor") == node).select(F.col("descendant").alias("node"))
 

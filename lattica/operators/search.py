@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.sources.shared import cut
 from lattica.sources.tables import KEY, normalized
 
 
@@ -208,7 +209,7 @@ def include_iterate(refs: DataFrame, page: DataFrame, steps: list[tuple[str, str
     front, out = seen, None
     for _ in range(passes):
         found = reduce(DataFrame.unionByName, [include(refs, front, kind, p) for kind, p in steps]).distinct()
-        front = found.join(seen, KEY, "left_anti")
+        front = cut(found.join(seen, KEY, "left_anti"))
         out = front if out is None else out.unionByName(front)
         seen = seen.unionByName(front)
     return out
