@@ -1,5 +1,6 @@
 import pytest
 
+import lattica.plans.extra  # noqa: F401
 from lattica.plans.queries import ORACLE_SQL, QUERIES
 from tests.oracle import compare
 
