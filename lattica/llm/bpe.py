@@ -16,7 +16,7 @@ from lattica.llm.common import U64, mix, powers
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 #: Distinct pre-tokens that a Python worker remembers; beyond that it starts anew.
-MOST_CACHED = 1_200_000
+MOST_CACHED = 500_000
 #: Pre-tokens merged in one ragged array.
 MERGE_BATCH = 100_000
 _NONE = np.int32(2**31 - 1)

@@ -7,6 +7,7 @@ sees, so a lost executor never takes the only copy of a result with it.
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that a task handles as one numpy block; longer texts form blocks of their own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Rows and bytes of one Arrow batch that a Python worker holds.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 U64 = np.uint64
 
 
@@ -35,6 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) of a table, read in Arrow batches of bounded bytes."""
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts are kept to ``BATCH_BYTES`` and ``BATCH_ROWS``, unless the session asks for less."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(f"spark.sql.execution.arrow.{key}"))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later stages start from there."""
     spark = df.sparkSession

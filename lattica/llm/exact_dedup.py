@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lattica.llm.common import LOWER, U64, discard, free_name, materialize, mix, plus, pow2, utf8
+from lattica.llm.common import LOWER, U64, bound_batches, discard, free_name, materialize, mix, plus, pow2, texts, utf8
 
 BLOOM_HASHES = 2
 BITS_PER_ROW = 16
@@ -94,15 +95,21 @@ def bloom_bits(rows: int) -> int:
     return min(MAX_BITS, max(1 << 13, pow2(rows * BITS_PER_ROW)))
 
 
-def _flagged(df: DataFrame, digest: str, name: str, packed, bits: int) -> DataFrame:
-    """``df`` with a boolean column: the digest may occur more than once."""
+def _hits(digests: pa.Array, twice: np.ndarray, bits: int) -> pa.Array:
+    return pa.array(reduce(np.logical_and, ((twice[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1 for s in _slots(digests, bits))), pa.bool_())
+
+
+def _flagged(df: DataFrame, digest: str, name: str, packed, bits: int, text: str | None = None) -> DataFrame:
+    """``df`` with a boolean column: the digest may occur more than once. With ``text``, the digest is made here too."""
     def run(batches):
         twice = np.frombuffer(zlib.decompress(packed.value), np.uint8)
         for b in batches:
-            hit = reduce(np.logical_and, ((twice[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1 for s in _slots(b.column(digest), bits)))
-            yield b.append_column(name, pa.array(hit, pa.bool_()))
+            if text is not None:
+                b = b.append_column(digest, text_digest(b.column(text)))
+            yield b.append_column(name, _hits(b.column(digest), twice, bits))
 
-    return df.mapInArrow(run, plus(df, name, "boolean"))
+    fields = df.schema if text is None else plus(df, digest, "binary")
+    return df.mapInArrow(run, T.StructType([*fields.fields, T.StructField(name, T.BooleanType())]))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,7 +120,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     when the groups are joined back.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = texts(docs, id_col, text_col)
     d = materialize(with_digest(slim).select("doc_id", "_digest").withColumn("_at", F.monotonically_increasing_id()))
     bits = bloom_bits(d.count())
     packed = spark.sparkContext.broadcast(repeated_slots(d.select("_digest"), bits))
@@ -134,12 +141,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     digest, maybe = free_name(docs.columns, "_digest"), free_name(docs.columns, "_maybe")
+    bound_batches(spark)
     only = docs.select(F.col(text_col).cast("string").alias("text"))
     hashes = materialize(with_digest(only).select("_digest"))
     bits = bloom_bits(hashes.count())
     packed = spark.sparkContext.broadcast(repeated_slots(hashes, bits))
     discard(hashes)
-    flagged = _flagged(with_digest(docs, text_col, digest), digest, maybe, packed, bits)
+    flagged = _flagged(docs, digest, maybe, packed, bits, text_col)
     once = flagged.where(~F.col(maybe)).select(*[F.col(f"`{c}`") for c in docs.columns])
     best = flagged.where(maybe).groupBy(digest).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col(id_col).isNotNull(), id_col)).alias("_row")).select("_row.*")
     return once.unionByName(best)

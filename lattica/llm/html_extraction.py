@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import bound_batches
+
 # Element names by their part in a page.
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title select textarea option button datalist".split())
 BOILER = frozenset("nav header footer aside form menu dialog fieldset figcaption".split())
@@ -182,5 +184,6 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             texts = [extract(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    bound_batches(pages.sparkSession)
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return slim.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import ragged
-from lattica.llm.common import U64, blocks, discard, materialize, mix, pow2, shingle_sets, utf8
+from lattica.llm.common import U64, blocks, discard, materialize, mix, pow2, shingle_sets, texts, utf8
 from lattica.llm.components import connected_components
 
 #: Shingle hashes below 2**SAMPLE_BITS (a quarter of all values) are tested for being in one text only.
@@ -433,7 +433,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links reach. Exact up to collisions of 64-bit hashes.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = texts(docs, id_col, text_col)
     rows = slim.count()
     ranges, slots = max(16, pow2(rows / DOCS_PER_RANGE)), min(MAX_SLOTS, max(1 << 20, pow2(rows * SLOTS_PER_DOC)))
     packed = spark.sparkContext.broadcast(shared_shingles(slim.select("text"), lambda batch: _block_sets(batch.column(0), width), SAMPLE_BITS, ranges, slots))

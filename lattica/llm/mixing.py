@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import quality_classifier as qc
 from lattica.llm.bpe import HashTable
-from lattica.llm.common import U64, blocks, materialize, utf8
+from lattica.llm.common import U64, blocks, materialize, texts, utf8
 from lattica.llm.textstats import NAMES, block_stats, column_matrix, matrix_column, summed
 from lattica.llm.toxicity import block_votes, find_patterns
 
@@ -146,7 +146,7 @@ def fit_rates(stats: DataFrame, model: dict, targets: dict[str, float]) -> list[
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, the posterior of each domain, rate, copies."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = texts(docs, id_col, text_col)
     model = fit_domains(slim, labels)
     stats = model.pop("stats")
     steps = fit_rates(stats, model, targets)
@@ -167,7 +167,7 @@ def _share(doc_id):
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its rate says; the same columns, and no shuffle of texts."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = texts(docs, id_col, text_col)
     model = fit_domains(slim, labels)
     steps = fit_rates(model.pop("stats"), model, targets)
     names = docs.columns

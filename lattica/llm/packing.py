@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe
-from lattica.llm.common import blocks, materialize, utf8
+from lattica.llm.common import blocks, materialize, texts, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "doc_id",
                     doc_ids.slice(a, b - a).take(pa.array(row)), pa.array(nth_piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                     pa.array(crc, pa.int64()), pa.array(np.full(len(row), task), pa.int64()), pa.array(nth, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = texts(docs, id_col, text_col)
     return slim.mapInArrow(run, PIECES)
 
 

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import in_crc, materialize
-from lattica.llm.textstats import NAMES, column_matrix, summed, text_stats
+from lattica.llm.common import blocks, bound_batches, in_crc, materialize, utf8
+from lattica.llm.textstats import NAMES, block_stats, column_matrix, summed, text_stats
 
 FEATURES, SEED, WIDTH, RIDGE, BINS = 192, 11, 2.5, 1e-3, 2048
 
@@ -106,12 +106,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulo: int = 5, rest: int = 0, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the classifier rejects; the same columns, and no shuffle of texts."""
+    bound_batches(docs.sparkSession)
     model = fit(training_rows(materialize(text_stats(docs, id_col, text_col)), labels, label, modulo, rest))
 
     def run(batches):
-        from lattica.llm.common import blocks, utf8
-        from lattica.llm.textstats import block_stats
-
         for b in batches:
             raw, offsets = utf8(b.column(text_col))
             good = [score_stats(model, block_stats(raw[offsets[x]:offsets[y]], offsets[x:y + 1] - offsets[x])) >= threshold for x, y in blocks(offsets)]

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lattica.llm.common import blocks, utf8, word_hashes, words
+from lattica.llm.common import blocks, texts, utf8, word_hashes, words
 
 NAMES = ["log_words", "word_length", "upper", "digits", "symbols", "bars", "exclamations", "other_marks", "not_ascii", "distinct", "top_word", "repeats", "repeat_pairs", "log_lines", "dup_lines", "line_words"]
 
@@ -59,7 +59,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             x = np.concatenate([block_stats(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in blocks(offsets)] or [np.zeros((0, len(NAMES)))])
             yield pa.RecordBatch.from_arrays([batch.column(0), matrix_column(x)], ["doc_id", "stats"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = texts(docs, id_col, text_col)
     return slim.mapInArrow(run, "doc_id long, stats array<double>")
 
 

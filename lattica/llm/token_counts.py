@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe
-from lattica.llm.common import blocks, utf8
+from lattica.llm.common import blocks, texts, utf8
 
 
 def _count_block(model: bpe.Bpe, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -64,5 +64,5 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             n = count_tokens(model, raw, offsets)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = texts(docs, id_col, text_col)
     return slim.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

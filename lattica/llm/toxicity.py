@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import HashTable
-from lattica.llm.common import LOWER, U64, blocks, discard, in_crc, materialize, mix, powers, utf8
+from lattica.llm.common import LOWER, U64, blocks, discard, in_crc, materialize, mix, powers, texts, utf8
 from lattica.llm.quality_classifier import isotonic
 from lattica.llm.textstats import column_matrix, matrix_column, summed
 
@@ -98,7 +98,7 @@ def find_patterns(docs: DataFrame, y: DataFrame) -> list[int]:
                 # patterns of clean texts count against those of toxic ones; their own are not needed
                 yield pa.RecordBatch.from_arrays([pa.array(u[~some].view(np.int64)), pa.array(np.zeros((~some).sum(), np.int64)), pa.array(n[~some])], ["h", "pos", "neg"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = texts(docs)
     # the sample has about MAX_LABELLED ids at most, so it is broadcast and only its texts are written
     joined = materialize(slim.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y"))
     totals = joined.agg(F.sum((F.col("y") >= 0.5).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")).first()
@@ -163,7 +163,7 @@ def votes_of(docs: DataFrame, patterns: list[int]) -> DataFrame:
             parts = [block_votes(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], table, len(patterns)) for a, b in blocks(offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), matrix_column(np.concatenate(parts or [np.zeros((0, len(patterns) + 3))]))], ["doc_id", "votes"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = texts(docs)
     return slim.mapInArrow(run, "doc_id long, votes array<double>")
 
 
@@ -241,7 +241,7 @@ def linear_classifier(votes: DataFrame, w: np.ndarray, b0: float, d: int) -> np.
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.7, modulo: int = 3, rest: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = texts(docs, id_col, text_col)
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("y IS NOT NULL").where(in_crc("doc_id", modulo, rest, False)).groupBy("doc_id").agg(F.avg("y").alias("y"))
     patterns = find_patterns(docs, y)
     d = len(patterns) + 3
