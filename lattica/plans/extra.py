@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattica.operators import extract, search, shape
+from lattica.functions import temporal
+from lattica.operators import extract, hierarchy, search, shape
 from lattica.plans.queries import query
 from lattica.sources import tables as T
 
@@ -83,3 +84,87 @@ def conditional_writes(spark, d):
 def canonical_version_prefix(spark, d):
     docs = T.table(spark, d, "part").select("p_partkey", F.lit("http://h.org/p").alias("url"), F.regexp_replace(F.col("p_size").cast("string"), "^1(?=.)", "1.").alias("version"))
     return shape.by_canonical(docs, "http://h.org/p", "1").select("p_partkey")
+
+
+# ---- dates, quantities, documents ---------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 1 MONTH, '%Y-%m-%d') AS month_on, strftime(o_orderdate - INTERVAL 10 DAY, '%Y-%m-%d') AS days_back, strftime(last_day(o_orderdate), '%Y-%m-%d') AS high FROM orders")
+def fp_durations(spark, d):
+    o = F.col("o_orderdate")
+    return T.table(spark, d, "orders").select(
+        "o_orderkey", F.date_format(temporal.add_duration(o, 1, "month"), "yyyy-MM-dd").alias("month_on"), F.date_format(temporal.add_duration(o, -10, "days"), "yyyy-MM-dd").alias("days_back"),
+        F.date_format(temporal.high_date(F.date_format(o, "yyyy-MM")), "yyyy-MM-dd").alias("high"))
+
+
+@query("SELECT 'o-' || o_orderkey AS resource_id FROM orders WHERE o_orderdate > TIMESTAMP '1996-06-15' AND o_orderdate <= TIMESTAMP '1997-06-15'")
+def search_age(spark, d):
+    after, until = temporal.born_between(F.lit("2000-06-15").cast("date"), 3)
+    day = F.col("start_date").cast("date")
+    return search.keys(search.rows_of(T.date_index(spark, d), "Encounter", "date"), (day > after) & (day <= until)).select("resource_id")
+
+
+@query("SELECT event_id, round(CASE WHEN event_type = 'purchase' THEN value + 2 ELSE value * 1000 + 2 END, 6) AS total, 'mg' AS unit FROM events")
+def fp_quantity_add(spark, d):
+    e = T.table(spark, d, "events")
+    q = temporal.add_quantities(temporal.quantity(F.col("value"), F.when(F.col("event_type") == "purchase", "mg").otherwise("g")), temporal.quantity(F.lit(2), F.lit("mg")), {"g": 1.0, "mg": 0.001})
+    return e.select("event_id", q.alias("q")).select("event_id", F.round("q.value", 6).alias("total"), "q.unit")
+
+
+@query("SELECT 'c-' || c_custkey AS id, k AS child FROM customer, (SELECT unnest(['resourceType', 'id', 'name', 'identifier', 'active']) AS k)")
+def fp_children(spark, d):
+    docs = T.patient_documents(spark, d).withColumn("v", F.parse_json("resource"))
+    return docs.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("id", F.col("key").alias("child"))
+
+
+@query("SELECT count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'purchase') AS done, count(*) FILTER (WHERE event_type NOT IN ('error', 'purchase')) AS waiting, round(avg(value), 6) AS mean FROM events")
+def queue_stats(spark, d):
+    kind = F.col("event_type")
+    return T.table(spark, d, "events").agg(F.count_if(kind == "error").alias("failed"), F.count_if(kind == "purchase").alias("done"), F.count_if(~kind.isin("error", "purchase")).alias("waiting"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') AND p_brand = 'Brand#2' ORDER BY p_partkey LIMIT 10 OFFSET 5")
+def catalogue_page(spark, d):
+    return T.table(spark, d, "part").where(F.lower("p_name").contains("ring") & (F.col("p_brand") == "Brand#2")).orderBy("p_partkey").offset(5).limit(10).select("p_partkey", "p_name")
+
+
+@query("SELECT DISTINCT 'd' AS kind, l_orderkey FROM lineitem WHERE l_partkey = 7")
+def referencing_scan(spark, d):
+    rows = T.reference_index(spark, d).where((F.col("target_type") == "Medication") & (F.col("target_id") == "p-7"))
+    return rows.select(F.lit("d").alias("kind"), F.split("resource_id", "-")[1].cast("long").alias("l_orderkey")).distinct()
+
+
+@query("SELECT 'o-' || o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey % 100 = 7")
+def batch_read(spark, d):
+    wanted = T.table(spark, d, "orders").where("o_orderkey % 100 = 7").select(F.lit("Encounter").alias("resource_type"), T.rid("o", "o_orderkey").alias("id"))
+    rows = T.encounters(spark, d).where("is_current").join(wanted, ["resource_type", "id"], "left_semi")
+    return rows.select("id", "status")
+
+
+@query("SELECT c_nationkey, count(*) AS n, count(o.o_custkey) AS with_orders FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON c_custkey = o_custkey GROUP BY 1")
+def counts_by_group(spark, d):
+    seen = T.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.lit(1).alias("seen")).distinct()
+    return T.table(spark, d, "customer").join(seen, "c_custkey", "left").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.count("seen").alias("with_orders"))
+
+
+@query("SELECT url FROM pages WHERE url = 'https://a.example.org/x/y' OR starts_with('https://a.example.org/x/y', regexp_replace(url, '/+$', '') || '/') OR contains(lower(regexp_replace(url, '/+$', '')), 'utm_source')")
+def search_uri_above_contains(spark, d):
+    return T.table(spark, d, "pages").where(search.uri_is(["https://a.example.org/x/y"], "above", "url") | search.uri_is(["utm_source"], "contains", "url")).select("url")
+
+
+@query("SELECT 'c-' || c_custkey AS resource_id FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def reference_below(spark, d):
+    tree = hierarchy.closure(T.reference_index(spark, d).where("resource_type = 'Location'").select(F.col("resource_id").alias("child"), F.col("target_id").alias("parent")))
+    places = hierarchy.below(tree, "r-1").select(F.lit("Location").alias("resource_type"), F.col("node").alias("resource_id"))
+    return search.chained(T.reference_index(spark, d), "Patient", "address", "Location", places).select("resource_id")
+
+
+@query("SELECT 'o-' || o_orderkey AS resource_id FROM orders JOIN labels ON o_custkey = doc_id WHERE toxic = 1")
+def reference_member(spark, d):
+    group = T.table(spark, d, "labels").where("toxic = 1").select(F.lit("Patient").alias("resource_type"), T.rid("c", "doc_id").alias("resource_id")).distinct()
+    return search.chained(T.reference_index(spark, d), "Encounter", "subject", "Patient", group).select("resource_id")
+
+
+@query("SELECT 'Encounter' AS resource_type, 'o-' || o_orderkey AS id, 1 AS least FROM orders WHERE o_orderkey % 17 = 0")
+def deleted_documents(spark, d):
+    return T.encounters(spark, d).where("is_current AND deleted").select("resource_type", "id", F.lit(1).alias("least"))
