@@ -6,6 +6,7 @@ sees, so a lost executor never takes the only copy of a result with it.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import tempfile
@@ -85,6 +86,16 @@ def plus(df: DataFrame, name: str, kind: str) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
 
 
+def any_names(f):
+    """Let ``f(docs, ...)``, which returns rows of ``docs``, take columns of any name, dots and clashes included."""
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, id_col: str = "doc_id", text_col: str = "text", **kw):
+        names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+        return f(docs.toDF(*names.values()), *args, id_col=names[id_col], text_col=names[text_col], **kw).toDF(*names)
+
+    return run
+
+
 def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):

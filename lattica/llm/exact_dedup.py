@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import LOWER, U64, bound_batches, discard, free_name, materialize, mix, plus, pow2, texts, utf8
+from lattica.llm.common import LOWER, U64, any_names, bound_batches, discard, free_name, materialize, mix, plus, pow2, texts, utf8
 
 BLOOM_HASHES = 2
 BITS_PER_ROW = 16
@@ -133,6 +133,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return once.unionByName(joined)
 
 
+@any_names
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, that with the largest doc_id; same columns.
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import ragged
-from lattica.llm.common import U64, blocks, discard, materialize, mix, pow2, shingle_sets, texts, utf8
+from lattica.llm.common import U64, any_names, blocks, discard, materialize, mix, pow2, shingle_sets, texts, utf8
 from lattica.llm.components import connected_components
 
 #: Shingle hashes below 2**SAMPLE_BITS (a quarter of all values) are tested for being in one text only.
@@ -468,6 +468,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return every.join(moved, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+@any_names
 def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of each group of linked documents, that with the smallest doc_id; same columns.
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import quality_classifier as qc
 from lattica.llm.bpe import HashTable
-from lattica.llm.common import U64, blocks, materialize, texts, utf8
+from lattica.llm.common import U64, any_names, blocks, materialize, texts, utf8
 from lattica.llm.textstats import NAMES, block_stats, column_matrix, matrix_column, summed
 from lattica.llm.toxicity import block_votes, find_patterns
 
@@ -165,6 +165,7 @@ def _share(doc_id):
     return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(-1)), F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
 
 
+@any_names
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its rate says; the same columns, and no shuffle of texts."""
     slim = texts(docs, id_col, text_col)

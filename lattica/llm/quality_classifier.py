@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import blocks, bound_batches, in_crc, materialize, utf8
+from lattica.llm.common import any_names, blocks, bound_batches, in_crc, materialize, utf8
 from lattica.llm.textstats import NAMES, block_stats, column_matrix, summed, text_stats
 
 FEATURES, SEED, WIDTH, RIDGE, BINS = 192, 11, 2.5, 1e-3, 2048
@@ -104,6 +104,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
     return stats.mapInArrow(run, "doc_id long, score double, predicted int").select("doc_id", in_crc("doc_id", modulo, rest, True).alias("held_out"), "score", "predicted")
 
 
+@any_names
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulo: int = 5, rest: int = 0, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the classifier rejects; the same columns, and no shuffle of texts."""
     bound_batches(docs.sparkSession)

@@ -27,7 +27,7 @@ from tests.llm.helpers import words_of
 from tests.oracle import compare
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, window string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, _gone string"
 TEXTS = [
     None, "", " \t\n", "one", "The Cat sat.\nThe Cat sat.\n\nOn the mat!", "the cat sat.\nthe cat sat.\n\non the mat!", "a b c d e " * 40, "long " * 60_000, "x" * 30_000,
     "don't we'll\x85 　日本語 👩‍👩‍👧 é ½ <|endoftext|> tail", "menu\nmenu\nstory one", "menu\nstory two", "menu\r\nstory three", "STUPID idiot moron scum"]
