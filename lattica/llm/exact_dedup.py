@@ -32,6 +32,8 @@ BLOOM_HASHES = 2
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 29
 RANGE_BITS = 1 << 22
+#: A group with more rows, and more than one row in MOST_LARGE of all, is joined by broadcast.
+LARGE_GROUP, MOST_LARGE = 1000, 10_000
 _TABLE = LOWER.tobytes()
 
 
@@ -116,19 +118,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256. The largest doc_id of equal texts stays.
 
     The text is read once and never shuffled: (doc_id, digest, place) is written to the shared folder.
-    Grouping pre-aggregates by digest in each task, and Spark splits a digest that many rows carry
-    when the groups are joined back.
+    Grouping pre-aggregates by digest in each task. The winners of very large groups, a bounded number,
+    are broadcast when groups are joined back; the others are joined by digest.
     """
     spark = docs.sparkSession
     slim = texts(docs, id_col, text_col)
     d = materialize(with_digest(slim).select("doc_id", "_digest").withColumn("_at", F.monotonically_increasing_id()))
-    bits = bloom_bits(d.count())
+    rows = d.count()
+    bits = bloom_bits(rows)
     packed = spark.sparkContext.broadcast(repeated_slots(d.select("_digest"), bits))
     flagged = _flagged(d, "_digest", "_maybe", packed, bits)
     once = flagged.where(~F.col("_maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
     more = flagged.where("_maybe")
-    best = more.groupBy("_digest").agg(F.max(F.struct("doc_id", "_at")).alias("_best"), F.count(F.lit(1)).alias("group_size"))
-    joined = more.join(best, "_digest").select(
+    best = materialize(more.groupBy("_digest").agg(F.max(F.struct("doc_id", "_at")).alias("_best"), F.count(F.lit(1)).alias("group_size")))
+    # groups of more than 1 in MOST_LARGE rows number MOST_LARGE at most: those are broadcast, so their rows stay where they are
+    large = best.where(F.col("group_size") > max(LARGE_GROUP, rows // MOST_LARGE)).select("_digest", F.col("_best").alias("_large"), F.col("group_size").alias("_size"))
+    tagged = more.join(F.broadcast(large), "_digest", "left")
+    hot = tagged.where("_size IS NOT NULL").select("doc_id", "_at", "_digest", F.col("_large").alias("_best"), F.col("_size").alias("group_size"))
+    rest = tagged.where("_size IS NULL").select("doc_id", "_at", "_digest").join(best, "_digest").select(*hot.columns)
+    joined = hot.unionByName(rest).select(
         "doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_at") == F.col("_best._at")).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
     return once.unionByName(joined)
 
