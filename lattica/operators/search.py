@@ -136,12 +136,14 @@ def uri_is(values: list[str], modifier: str = "", column: str = "value") -> Colu
 
 def words_match(all_of: list[str] = (), any_of: list[str] = (), none_of: list[str] = (), phrase: str = "", column: str = "content") -> Column:
     """Full text on lower-cased words (letters and digits)."""
-    text = F.concat(F.lit(" "), F.array_join(F.split(F.lower(F.col(column)), r"[^\p{L}\p{N}]+"), " "), F.lit(" "))
+    lower = F.lower(F.col(column))
+    text = F.concat(F.lit(" "), F.regexp_replace(lower, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
 
     def has(w: str) -> Column:
         return text.contains(f" {w.lower()} ")
 
-    p = reduce(Column.__and__, [has(w) for w in all_of], F.lit(True))
+    p = reduce(Column.__and__, [lower.contains(w.lower()) for w in all_of], F.lit(True))  # cheap, before words are made out
+    p = reduce(Column.__and__, [has(w) for w in all_of], p)
     if any_of:
         p = p & _any([has(w) for w in any_of])
     for w in none_of:
