@@ -59,8 +59,8 @@ def _slots(digests: pa.Array, bits: int) -> list[np.ndarray]:
     return [(mix(head + U64(i * 0x9E3779B9)) & U64(bits - 1)).astype(np.int64) for i in range(BLOOM_HASHES)]
 
 
-def repeated_slots(digests: DataFrame, bits: int) -> bytes:
-    """The bits of slots that two or more digests hit, as one bitmap of ``bits / 8`` bytes (compressed by range)."""
+def repeated_slots(digests: DataFrame, bits: int, least: int = 2) -> bytes:
+    """The bits of slots that two or more digests hit (or, with ``least`` 1, any), as one bitmap of ``bits / 8`` bytes."""
     per = min(RANGE_BITS, bits)
 
     def local(batches):
@@ -82,7 +82,7 @@ def repeated_slots(digests: DataFrame, bits: int) -> bytes:
             slot = coded >> np.uint32(1)
             twice[slot] |= once[slot] | (coded & np.uint32(1)).astype(bool)
             once[slot] = True
-        packed = zlib.compress(np.packbits(twice).tobytes(), 1)
+        packed = zlib.compress(np.packbits(twice if least == 2 else once).tobytes(), 1)
         return pa.table({"r": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([packed], pa.binary())})
 
     found = digests.mapInArrow(local, "r long, blob binary").groupBy("r").applyInArrow(merge, "r long, bits binary")
@@ -141,6 +141,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return once.unionByName(joined)
 
 
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose id is in ``gone``, a table of one column without nulls.
+
+    A Bloom filter of the ids, of bounded size, lets all other rows pass without a shuffle; only rows
+    that may be among them are joined.
+    """
+    spark, key = docs.sparkSession, gone.columns[0]
+    digest, maybe = free_name(docs.columns, "_digest"), free_name(docs.columns, "_maybe")
+
+    def code(column):
+        return F.unhex(F.sha2(F.coalesce(column.cast("string"), F.lit("")).cast("binary"), 256))
+
+    bits = bloom_bits(gone.count())
+    packed = spark.sparkContext.broadcast(repeated_slots(gone.select(code(F.col(key)).alias("_digest")), bits, least=1))
+    flagged = _flagged(docs.withColumn(digest, code(F.col(id_col).cast("long"))), digest, maybe, packed, bits)
+    rest = flagged.where(~F.col(maybe)).select(docs.columns)
+    return rest.unionByName(flagged.where(maybe).select(docs.columns).join(gone, F.col(id_col).cast("long") == F.col(key), "left_anti"))
+
+
 @any_names
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, that with the largest doc_id; same columns.

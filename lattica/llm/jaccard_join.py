@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from lattica.llm.bpe import ragged
 from lattica.llm.common import U64, any_names, blocks, discard, materialize, mix, pow2, shingle_sets, texts, utf8
 from lattica.llm.components import connected_components
+from lattica.llm.exact_dedup import without_ids
 
 #: Shingle hashes below 2**SAMPLE_BITS (a quarter of all values) are tested for being in one text only.
 SAMPLE_BITS = 62
@@ -472,13 +473,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of each group of linked documents, that with the smallest doc_id; same columns.
 
-    Only ids are joined against the documents. Rows that repeat a doc_id count as one document, of which
+    Only rows that a Bloom filter of the dropped ids lets through are joined. Rows that repeat a doc_id count as one document, of which
     one row stays; rows without a doc_id stay.
     """
     found = materialize(jaccard_components(docs, id_col, text_col, width, num, den).select("doc_id", (F.col("component_id") == F.col("doc_id")).alias("first")))
     name = F.col(id_col).cast("long")
-    gone = found.where(~F.col("first")).select("doc_id").distinct().withColumnRenamed("doc_id", "_gone")
-    kept = docs.join(gone, name == F.col("_gone"), "left_anti")
+    gone = materialize(found.where(~F.col("first")).select(F.col("doc_id").alias("_gone")).distinct())
+    kept = without_ids(docs, gone, id_col)
     twice = materialize(found.where("first").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))
     if twice.isEmpty():
         return kept
