@@ -58,3 +58,15 @@ def test_empty_table_and_clashing_columns(spark):
     assert jaccard_components(empty).count() == 0
     docs = spark.createDataFrame([(2, "a b c d", "k", "n"), (1, "a b c d", "k", "n")], "doc_id long, text string, key string, component_id string")
     assert {(r.doc_id, r.component_id) for r in jaccard_components(docs).collect()} == {(1, 1), (2, 1)}
+
+
+def test_one_row_of_each_group_stays(spark):
+    from lattica.llm.jaccard_join import one_of_each_component
+
+    long = "a b c d e f g h i j k l m n o p q r s t u v w x y z "
+    rows = [(5, long, "x"), (3, long + "end", "x"), (3, long + "end", "y"), (9, "other words stand here alone", "x"), (9, "other words stand here alone", "x"), (7, None, "x"), (None, "no id", "x"), (8, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    got = one_of_each_component(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 3, 7, 8, 9]
+    assert one_of_each_component(docs.limit(0)).count() == 0
