@@ -1,11 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read once into blocks: runs of text between block tags, each with its path from the root.
-Per path (tag names with their class, so that all paragraphs of one column share it) the page's text
-length, blocks, punctuation, words and link text are aggregated. Two ratios per path, text length per
-block and punctuation per block, are smoothed over the order in which paths come on the page, fused by
-multiplication and compared with a share of the page's own mean. A block is content if its path passes,
-or if it lies inside an element that holds the page's article and its path is neither linked nor small.
+Per path (tag names with their class) the page's text length, blocks, punctuation and link text are
+aggregated. Two ratios per path, text length per block and punctuation per block, are smoothed over the
+order in which paths of the same tag names come on the page (as geometric means, so that a long neighbour
+does not carry a short path), fused by multiplication and compared with a share of the page's own mean. A
+block is content if its path passes and is not mostly links; if the page has an article, only blocks
+inside it can be, and the ratios decide there as well. Two rules go with that:
+
+* Short paragraphs, items, cells and quotes without a class belong to the path of the element that holds
+  them, and stay or go with that column, however short they are.
+* A heading stays if content follows it before the next heading of its rank or above. Only where nothing
+  but headings has text do the ratios decide on them.
 
 Elements that never hold article text (scripts, menus, footers, forms, adverts by their class) are
 left out of the paths from the start. Each page is handled alone, in the task that reads it; nothing is
@@ -19,6 +25,7 @@ simple: unknown end tags are skipped, unclosed paragraphs and items end at the n
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import defaultdict
 
@@ -38,12 +45,17 @@ ENDS_ITSELF = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset([
 #: Classes and ids of what is not the article.
 BOILER_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|footer\w*|foot|masthead|header\w*|site-?header|comments?|comment-?\w*|replies|reply|respond|disqus|cookies?\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter\w*|subscribe\w*|signup|login|share\w*|social\w*|related\w*|recommend\w*|more|tags?|meta|byline|pagination|pager|toolbar|search\w*|skip\w*|copyright|legal|disclaimer|hidden|sr-only)(?:$|[\s_-])", re.I)
 BLOCK_HEADS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+#: Steps at the end of a path that, without a class, belong to the column that holds them.
+COLUMN_PARTS = frozenset("p li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th caption".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+CLASS = re.compile(r"(?<![\w-])class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Share of the page's mean that a path's fused ratio must reach.
 SHARE = 0.25
+#: Share of link text from which a path is a list of links.
+LINKED = 0.6
 
 
 class Block:
@@ -129,18 +141,29 @@ def page_blocks(source: str) -> list[Block]:
         above = stack[-1] if stack else ("", "", False, False)
         inside = above[3] or name in ARTICLE
         dull = above[2] or (name in BOILER and not (name == "header" and above[3])) or bool(named and BOILER_NAME.search(named) and name not in ("body", "html", *ARTICLE)) or bool(re.search(r"\bhidden\b|aria-hidden\s*=\s*.?true|display\s*:\s*none", m[3], re.I))
-        stack.append((name, name + ("." + named.lower().replace(" ", ".") if named else ""), dull, inside))
+        kind = ".".join(x for g in CLASS.findall(m[3]) for x in "".join(g).lower().split())
+        stack.append((name, name + ("." + kind if kind else ""), dull, inside))
     flush()
     return blocks
 
 
 def _smooth(values: list[float]) -> list[float]:
-    """Mean of each value and its neighbours, the value itself counting twice."""
-    out = []
-    for i, v in enumerate(values):
-        near = values[max(0, i - 1):i + 2]
-        out.append((sum(near) + v) / (len(near) + 1))
-    return out
+    """Geometric mean of each value and its neighbours, the value itself counting twice."""
+    logs = [math.log(v) for v in values]
+    return [math.exp((sum(near := logs[max(0, i - 1):i + 2]) + v) / (len(near) + 1)) for i, v in enumerate(logs)]
+
+
+def _column(path: str) -> str:
+    steps = path.split("/")
+    while len(steps) > 1 and steps[-1] in COLUMN_PARTS:
+        steps.pop()
+    return "/".join(steps)
+
+
+def _rank(b: Block) -> int:
+    """1 to 6 for a heading, else 0."""
+    name = b.path.rsplit("/", 1)[-1].split(".")[0]
+    return int(name[1]) if name in BLOCK_HEADS else 0
 
 
 def content_blocks(blocks: list[Block]) -> list[Block]:
@@ -148,27 +171,51 @@ def content_blocks(blocks: list[Block]) -> list[Block]:
     rest = [b for b in blocks if not b.dull]
     if any(b.inside for b in rest):
         rest = [b for b in rest if b.inside]
-    paths: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
+    links: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for b in rest:
-        p = paths[b.path]
+        links[b.path][0] += b.linked
+        links[b.path][1] += len(b.text)
+    rest = [b for b in rest if links[b.path][0] < LINKED * links[b.path][1]]
+    judged = [b for b in rest if not _rank(b)] or rest
+    paths: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    for b in judged:
+        p = paths[_column(b.path)]
         p[0] += 1
         p[1] += len(b.text)
         p[2] += len(MARKS.findall(b.text))
-        p[3] += b.linked
     if not paths:
         return []
-    length = _smooth([p[1] / p[0] for p in paths.values()])
-    marks = _smooth([p[2] / p[0] for p in paths.values()])
-    fused = {k: a * (1 + m) for k, a, m in zip(paths, length, marks, strict=True)}
+    like: dict[str, list[str]] = defaultdict(list)
+    for k in paths:
+        like[_column("/".join(x.split(".")[0] for x in k.split("/")))].append(k)
+    fused: dict[str, float] = {}
+    for ks in like.values():
+        length = _smooth([paths[k][1] / paths[k][0] for k in ks])
+        marks = _smooth([1 + paths[k][2] / paths[k][0] for k in ks])
+        fused.update({k: a * m for k, a, m in zip(ks, length, marks, strict=True)})
     weight = sum(p[1] for p in paths.values())
     mean = sum(fused[k] * p[1] for k, p in paths.items()) / weight
     good = {k for k in paths if fused[k] >= SHARE * mean}
-    out = []
-    for b in rest:
-        share = paths[b.path][3] / paths[b.path][1]
-        head = b.path.rsplit("/", 1)[-1].split(".")[0] in BLOCK_HEADS
-        if share < 0.6 and (b.path in good or b.inside or head):
-            out.append(b)
+    content = {id(b) for b in judged if _column(b.path) in good}
+    kept = content | _headed(blocks, content, {id(b) for b in rest})
+    return [b for b in blocks if id(b) in kept]
+
+
+def _headed(blocks: list[Block], content: set[int], rest: set[int]) -> set[int]:
+    """The headings of ``rest`` with content before the next heading of their rank or above; headings in a row count as one."""
+    out: set[int] = set()
+    follows, row = [False] * 7, False
+    for b in reversed(blocks):
+        rank = _rank(b) if id(b) in rest else 0
+        if id(b) in content:
+            follows, row = [True] * 7, False
+        elif rank:
+            row = row or follows[rank]
+            if row:
+                out.add(id(b))
+            follows[rank:] = [False] * (7 - rank)
+        else:
+            row = False
     return out
 
 

@@ -222,6 +222,23 @@ def test_html_extraction(spark):
     assert {(2, 0), (3, 0), (4, 219_999)} <= got and main_texts(pages).count() == 7 and main_texts(pages.limit(0)).count() == 0
 
 
+def test_html_ratios_decide_inside_the_article():
+    long = "A sentence, with words. " * 10
+    def page(x):
+        return f"<article><h1>Title</h1><p>{long}</p>{x}<p>{long}</p></article>"
+
+    def kept(x):
+        return extract(page(x)).split("\n\n")[1:-1]
+
+    for noise in ('<div class="box-x">Read this next</div>', "<div>Tap to zoom</div>", '<div class="voice"><p>So true, thanks!</p></div>'):
+        assert kept(noise) == [long.strip()], noise
+    assert kept("<p>Yes.</p><ul><li>one</li></ul><table><tr><td>1</td></tr></table>") == [long.strip(), "Yes.", "one", "1"]
+    assert kept('<p class="lead">Short, but of the column.</p>') == [long.strip(), "Short, but of the column."]
+    assert kept("<h2>Part</h2><h3>Of it</h3>") == [long.strip(), "Part", "Of it"]
+    assert kept('<h2>Voices</h2><div class="voice"><p>So true!</p></div><h2>Part</h2>') == [long.strip(), "Part"]
+    assert extract("<article><h1>Only this</h1></article>") == "Only this"
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     assert compare(spark, QUERIES[name], ORACLE_SQL[name]) is None
