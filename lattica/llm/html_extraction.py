@@ -13,9 +13,9 @@ inside it can be, and the ratios decide there as well. Two rules go with that:
 * A heading stays if content follows it before the next heading of its rank or above. Only where nothing
   but headings has text do the ratios decide on them.
 
-Elements that never hold article text (scripts, menus, footers, forms, adverts by their class) are
-left out of the paths from the start. Each page is handled alone, in the task that reads it; nothing is
-shuffled.
+Elements that never hold article text (scripts, menus, footers, forms, adverts by their class; hidden
+ones, by the attribute or the style) are left out of the paths from the start. Each page is handled alone,
+in the task that reads it; nothing is shuffled.
 
 Defined cases: a null or empty html gives an empty text. Repeated rows are extracted each, extra columns
 are ignored, an empty table gives an empty result. Broken markup is read as browsers do where that is
@@ -24,6 +24,7 @@ simple: unknown end tags are skipped, unclosed paragraphs and items end at the n
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -42,15 +43,17 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(["article", "main"])
 ENDS_ITSELF = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
-#: Classes and ids of what is not the article.
-BOILER_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|footer\w*|foot|masthead|header\w*|site-?header|comments?|comment-?\w*|replies|reply|respond|disqus|cookies?\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter\w*|subscribe\w*|signup|login|share\w*|social\w*|related\w*|recommend\w*|more|tags?|meta|byline|pagination|pager|toolbar|search\w*|skip\w*|copyright|legal|disclaimer|hidden|sr-only)(?:$|[\s_-])", re.I)
+#: Names of what is not the article, as whole classes, ids and roles.
+BOILER_NAME = re.compile(r"ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|footer\w*|foot|masthead|header\w*|site-?header|comments?|comment-?\w*|replies|reply|respond|disqus|cookies?\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter\w*|subscribe\w*|signup|login|share\w*|social\w*|related\w*|recommend\w*|more|tags?|meta|byline|pagination|pager|toolbar|search\w*|skip\w*|copyright|legal|disclaimer|hidden|sr-only|(?:post|entry|article)[_-](?:meta|footer|tags|share|comments)", re.I)
+#: Words beside such names that only say where something stands, or that it is a list.
+PLACES = frozenset("site page main top bottom global primary area list links box block bar button buttons icons items form posts".split())
 BLOCK_HEADS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: Steps at the end of a path that, without a class, belong to the column that holds them.
 COLUMN_PARTS = frozenset("p li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th caption".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-CLASS = re.compile(r"(?<![\w-])class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Share of the page's mean that a path's fused ratio must reach.
 SHARE = 0.25
@@ -65,6 +68,13 @@ class Block:
         self.path, self.text, self.linked, self.dull, self.inside = path, text, linked, dull, inside
 
 
+@functools.lru_cache(10_000)
+def _boiler(token: str) -> bool:
+    """Whether a whole class, id or role is such a name, or consists of such names and places; no-sidebar and has-sidebar do not."""
+    parts = [x for x in re.split("[_-]", token) if x.lower() not in PLACES]
+    return bool(BOILER_NAME.fullmatch(token)) or bool(parts) and all(map(BOILER_NAME.fullmatch, parts))
+
+
 def page_blocks(source: str) -> list[Block]:
     """The blocks of a page in order."""
     blocks: list[Block] = []
@@ -137,12 +147,15 @@ def page_blocks(source: str) -> list[Block]:
                     break
         if name in VOID:
             continue
-        named = " ".join(x for g in NAMED.findall(m[3]) for x in g if x)
+        has: dict[str, str] = {}
+        for x in ATTRIBUTE.finditer(m[3]):
+            has.setdefault(x[1].lower(), html.unescape(x[2] or x[3] or x[4] or ""))
+        kinds = has.get("class", "").lower().split()
+        named = [*kinds, *has.get("id", "").split(), *has.get("role", "").split()]
         above = stack[-1] if stack else ("", "", False, False)
         inside = above[3] or name in ARTICLE
-        dull = above[2] or (name in BOILER and not (name == "header" and above[3])) or bool(named and BOILER_NAME.search(named) and name not in ("body", "html", *ARTICLE)) or bool(re.search(r"\bhidden\b|aria-hidden\s*=\s*.?true|display\s*:\s*none", m[3], re.I))
-        kind = ".".join(x for g in CLASS.findall(m[3]) for x in "".join(g).lower().split())
-        stack.append((name, name + ("." + kind if kind else ""), dull, inside))
+        dull = above[2] or (name in BOILER and not (name == "header" and above[3])) or (name not in ("body", "html", *ARTICLE) and ("hidden" in has or bool(UNSEEN.search(has.get("style", ""))) or any(map(_boiler, named))))
+        stack.append((name, ".".join([name, *kinds]).replace("/", "|"), dull, inside))
     flush()
     return blocks
 

@@ -239,6 +239,18 @@ def test_html_ratios_decide_inside_the_article():
     assert extract("<article><h1>Only this</h1></article>") == "Only this"
 
 
+def test_html_hidden_and_boilerplate_names_are_whole():
+    text = ("A sentence, with words. " * 10).strip()
+    for x in ('style="overflow:hidden"', 'title="hidden gems"', 'class="content no-sidebar"', 'class="has-sidebar"', 'class="page_with-sidebar"', 'class="post tag-news"', 'data-menu="hidden" class=text', 'data-class="sidebar"', 'style="backface-visibility:hidden"'):
+        for page in (f"<body><div {x}><article><p>{text}</p></article></div></body>", f"<body><div {x}><p>{text}</p></div></body>"):
+            assert extract(page) == text, page
+    for x in ("hidden", 'hidden=""', "class=sidebar", "class='x Sidebar y'", 'class="cookie-notice"', 'class="main-nav"', 'id="comments"', 'role="search"', 'style="color:red; display : none"', "style='visibility:hidden'"):
+        assert extract(f"<body><div><p>{text}</p></div><div {x}><p>B. {text}</p></div></body>") == text, x
+    for name in ("body", "html", "article", "main"):
+        for x in ("hidden", "style='visibility:hidden'", "class=sidebar"):
+            assert extract(f"<{name} {x}><p>{text}</p></{name}>") == text
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     assert compare(spark, QUERIES[name], ORACLE_SQL[name]) is None
