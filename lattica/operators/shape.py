@@ -35,8 +35,13 @@ def searchset(matches: DataFrame, included: DataFrame, body: Column) -> DataFram
 
 def conditional(requests: DataFrame, found: DataFrame, key: str = "request_id") -> DataFrame:
     """For each conditional write: how many documents match, and what follows: create, update or conflict."""
-    n = found.groupBy(key).agg(F.count(F.lit(1)).alias("matches"), F.min("resource_id").alias("target"))
-    j = requests.join(n, key, "left").withColumn("matches", F.coalesce("matches", F.lit(0)).cast("long"))
+    return conditional_on(requests, found, key)
+
+
+def conditional_on(requests: DataFrame, documents: DataFrame, on: str) -> DataFrame:
+    """``conditional`` for documents with the key that requests name: matches are counted by key before the join, which emits no pairs."""
+    n = documents.groupBy(on).agg(F.count(F.lit(1)).alias("matches"), F.min("resource_id").alias("target"))
+    j = requests.join(n, on, "left").withColumn("matches", F.coalesce("matches", F.lit(0)).cast("long"))
     return j.withColumn("action", F.when(F.col("matches") == 0, "create").when(F.col("matches") == 1, "update").otherwise("conflict")).withColumn("target", F.when(F.col("matches") == 1, F.col("target")))
 
 

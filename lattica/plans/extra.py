@@ -75,9 +75,17 @@ def searchset_entries(spark, d):
 @query("""SELECT p_partkey AS request_id, CASE n WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'conflict' END AS action, CASE WHEN n = 1 THEN t END AS target
 FROM (SELECT p_partkey, count(c_custkey) AS n, min('c-' || c_custkey) AS t FROM part LEFT JOIN customer ON p_size = 1 + c_custkey // 4 % 60 AND c_custkey < 160 AND c_custkey % 4 < p_size % 4 GROUP BY 1)""")
 def conditional_writes(spark, d):
-    p, c = T.table(spark, d, "part"), T.table(spark, d, "customer").where("c_custkey < 160")
-    found = p.join(c, (F.col("p_size") == 1 + F.floor(F.col("c_custkey") / 4) % 60) & (F.col("c_custkey") % 4 < F.col("p_size") % 4)).select(F.col("p_partkey").alias("request_id"), T.rid("c", "c_custkey").alias("resource_id"))
-    return shape.conditional(p.select(F.col("p_partkey").alias("request_id")), found).select("request_id", "action", "target")
+    c = T.table(spark, d, "customer").where("c_custkey < 160").withColumn("p_size", 1 + F.floor(F.col("c_custkey") / 4) % 60)
+    found = c.where("c_custkey % 4 < p_size % 4").select("p_size", T.rid("c", "c_custkey").alias("resource_id"))
+    return shape.conditional_on(T.table(spark, d, "part").select(F.col("p_partkey").alias("request_id"), "p_size"), found, "p_size").select("request_id", "action", "target")
+
+
+@query("""SELECT p_partkey AS request_id, CASE coalesce(n, 0) WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'conflict' END AS action, CASE WHEN n = 1 THEN t END AS target
+FROM part LEFT JOIN (SELECT o_custkey, count(*) AS n, min('o-' || o_orderkey) AS t FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) ON p_partkey = o_custkey""")
+def conditional_writes_by_key(spark, d):
+    """Writes of an urgent Encounter of subject c-N, matched against all of them."""
+    documents = T.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("request_id"), T.rid("o", "o_orderkey").alias("resource_id"))
+    return shape.conditional_on(T.table(spark, d, "part").select(F.col("p_partkey").alias("request_id")), documents, "request_id").select("request_id", "action", "target")
 
 
 @query("SELECT p_partkey FROM part WHERE p_size = 1 OR p_size BETWEEN 10 AND 19")

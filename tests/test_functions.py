@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+import lattica.plans.extra  # noqa: F401
 from lattica.functions import collections as C
 from lattica.functions import scalars as S
-from lattica.operators import extract, hierarchy, history, rules, search
+from lattica.operators import extract, hierarchy, history, rules, search, shape
+from lattica.plans.queries import QUERIES
 from lattica.sources import tables as T
 from lattica.streaming.indexing import index_stream, latest_rows, version_stream
 
@@ -60,6 +62,18 @@ def test_precision_of_numbers(literal, half):
     assert float(search.precision_of(literal)) == float(half)
 
 
+def test_conditional_writes_count_before_they_join(spark):
+    requests = spark.createDataFrame([(i, "many") for i in range(300)] + [(900, "one"), (901, "none"), (902, None)], "request_id long, name string")
+    documents = spark.createDataFrame([("many", f"d-{i}") for i in range(300)] + [("one", "d-900"), (None, "d-901")], "name string, resource_id string")
+    out = shape.conditional_on(requests, documents, "name")
+    got = {r.request_id: (r.matches, r.action, r.target) for r in out.collect()}
+    assert got == {i: (300, "conflict", None) for i in range(300)} | {900: (1, "update", "d-900"), 901: (0, "create", None), 902: (0, "create", None)}
+    for name in ("conditional_writes", "conditional_writes_by_key"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join") < plan.index("Aggregate") and plan.count("Aggregate") == 1
+    assert QUERIES["conditional_writes_by_key"](spark, "/root/testdata/sf0.01").where("request_id >= 160 AND action <> 'create'").count() > 0
+
+
 def test_closure_ends_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("e", None)], "child string, parent string")
     tree = hierarchy.closure(edges)
