@@ -52,7 +52,8 @@ def composite_tuples(spark, d):
 
 @query("SELECT DISTINCT 'g-' || quality AS collection_id, 'doc-' || doc_id AS member_id FROM labels WHERE quality = 1")
 def membership_edges(spark, d):
-    g = T.table(spark, d, "labels").groupBy("quality").agg(F.collect_list(F.concat(F.lit("DocumentReference/doc-"), F.col("doc_id").cast("string"))).alias("member")).withColumn("id", T.rid("g", "quality"))
+    # a row for each member, as an array of one: no array grows with its collection
+    g = T.table(spark, d, "labels").select("quality", F.array(F.concat(F.lit("DocumentReference/doc-"), F.col("doc_id").cast("string"))).alias("member"), T.rid("g", "quality").alias("id"))
     return extract.membership_edges(g, "Group", "id", "member", F.col("quality") == 1).select("collection_id", "member_id")
 
 

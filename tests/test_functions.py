@@ -74,6 +74,11 @@ def test_conditional_writes_count_before_they_join(spark):
     assert QUERIES["conditional_writes_by_key"](spark, "/root/testdata/sf0.01").where("request_id >= 160 AND action <> 'create'").count() > 0
 
 
+def test_membership_holds_no_collection_in_one_row(spark):
+    plan = QUERIES["membership_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+
+
 def test_closure_ends_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("e", None)], "child string, parent string")
     tree = hierarchy.closure(edges)
