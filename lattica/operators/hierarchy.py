@@ -1,4 +1,4 @@
-"""Closures over parent edges: semi-naive iteration with a check against cycles."""
+"""Closures over parent edges: semi-naive iteration by doubling, with a check against cycles."""
 
 from __future__ import annotations
 
@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from lattica.sources.shared import cut
 
 
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent", reflexive: bool = True, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent", reflexive: bool = True) -> DataFrame:
     """(descendant, ancestor, distance): every pair once, at its least distance.
 
-    Each round joins only the pairs found in the round before, and drops those known, so cycles end.
-    Rounds are checkpointed in the shared folder, which cuts the plan.
+    Once all pairs up to a distance are known, a round joins those at just that distance with all, and drops
+    pairs known, so the distance doubles and cycles end. Rounds go on until one finds nothing; they are
+    checkpointed in the shared folder, which cuts the plan.
     """
     e = edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c IS NOT NULL AND p IS NOT NULL").distinct()
     found = e.select(F.col("c").alias("descendant"), F.col("p").alias("ancestor"), F.lit(1).alias("distance"))
-    front = found
-    for depth in range(2, most):
-        after = front.join(e, front.ancestor == e.c).select("descendant", F.col("p").alias("ancestor"), F.lit(depth).alias("distance")).distinct()
+    known = 1
+    while True:
+        first = found.where(F.col("distance") == known).select("descendant", F.col("ancestor").alias("by"))
+        then = found.select(F.col("descendant").alias("by"), "ancestor", (F.col("distance") + known).alias("distance"))
+        after = first.join(then, "by").groupBy("descendant", "ancestor").agg(F.min("distance").alias("distance"))
         front = cut(after.join(found, ["descendant", "ancestor"], "left_anti"))
         if front.isEmpty():
             break
         found = found.unionByName(front)
+        known *= 2
     if not reflexive:
         return found
     nodes = e.select(F.col("c").alias("n")).unionByName(e.select(F.col("p").alias("n"))).distinct()

@@ -85,6 +85,24 @@ def test_closure_ends_on_cycles(spark):
     assert {r.node for r in hierarchy.above(tree, "d").collect()} == {"a", "b", "c", "d"} and tree.where("descendant = 'a' AND ancestor = 'a'").count() == 1
 
 
+def test_closure_of_deep_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 90), (100, 200)], "child int, parent int")
+    after = {}
+    for a, b in edges.collect():
+        after.setdefault(a, []).append(b)
+    want = set()
+    for start in [*range(101), 200]:
+        far, front = {start: 0}, [start]
+        for x in front:
+            for y in after.get(x, []):
+                if y not in far:
+                    far[y] = far[x] + 1
+                    front.append(y)
+        want |= {(start, x, n) for x, n in far.items()}
+    got = [(r.descendant, r.ancestor, r.distance) for r in hierarchy.closure(edges).collect()]
+    assert len(got) == len(want) and set(got) == want and max(n for _, _, n in got) > 64
+
+
 def test_versions(spark):
     v = spark.createDataFrame([("P", "1", 1, "2020-01-01", "x", False, False), ("P", "1", 2, "2020-02-01", "y", False, True), ("P", "2", 1, "2020-01-05", "z", False, True)], "resource_type string, id string, version_id int, last_updated string, status string, deleted boolean, is_current boolean")
     gone = spark.createDataFrame([("P", "1", "2020-03-01", None, True)], "resource_type string, id string, last_updated string, status string, deleted boolean")
