@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import ragged
-from lattica.llm.common import U64, any_names, blocks, discard, materialize, mix, pow2, shingle_sets, texts, utf8
+from lattica.llm.common import U64, any_names, blocks, bound_batches, discard, materialize, mix, plus, pow2, shingle_sets, texts, utf8
 from lattica.llm.components import connected_components
 from lattica.llm.exact_dedup import without_ids
 
@@ -433,6 +433,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Documents link when ``den * overlap >= num * union``; component_id is the smallest doc_id that
     links reach. Exact up to collisions of 64-bit hashes.
     """
+    return _components(docs, id_col, text_col, width, num, den, leaf).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, leaf: int) -> DataFrame:
+    """The rows of ``jaccard_components`` with the key of the row's set and one key for all sets of its component."""
     spark = docs.sparkSession
     slim = texts(docs, id_col, text_col)
     rows = slim.count()
@@ -465,24 +470,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = classes.join(roots, "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = least.groupBy("component").agg(F.min("first").alias("component_id"))
     several = least.where("copies > 1").select("key", "component").unionByName(roots.join(classes.where("copies = 1"), "key", "left_semi").select("key", "component"))
-    moved = several.join(named, "component").select("key", "component_id")
-    return every.join(moved, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    moved = several.join(named, "component").select("key", "component", "component_id")
+    return every.join(moved, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "key", F.coalesce("component", "key").alias("component"))
+
+
+def _with_set_key(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``docs`` with the key of each row's set of shingles as the column _key."""
+    def run(batches):
+        for b in batches:
+            yield b.append_column("_key", pa.array([_set_key(u) for u in _block_sets(b.column("_text"), width)], pa.int64()))
+
+    bound_batches(docs.sparkSession)
+    text = docs.withColumn("_text", F.col(text_col).cast("string"))
+    return text.mapInArrow(run, plus(text, "_key", "long")).drop("_text")
 
 
 @any_names
 def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of each group of linked documents, that with the smallest doc_id; same columns.
 
-    Only rows that a Bloom filter of the dropped ids lets through are joined. Rows that repeat a doc_id count as one document, of which
-    one row stays; rows without a doc_id stay.
+    Only rows that a Bloom filter of the dropped ids lets through are joined. Rows whose doc_id occurs again are told apart by their sets
+    of shingles, so a row goes only if it is linked with one that stays; rows without a doc_id stay.
     """
-    found = materialize(jaccard_components(docs, id_col, text_col, width, num, den).select("doc_id", (F.col("component_id") == F.col("doc_id")).alias("first")))
+    found = materialize(_components(docs, id_col, text_col, width, num, den, LEAF_SHINGLES).select("doc_id", "key", "component", (F.col("n_shingles") == 0).alias("bare"), (F.col("component_id") == F.col("doc_id")).alias("first")))
     name = F.col(id_col).cast("long")
-    gone = materialize(found.where(~F.col("first")).select(F.col("doc_id").alias("_gone")).distinct())
-    kept = without_ids(docs, gone, id_col)
-    twice = materialize(found.where("first").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))
+    gone = found.where(~F.col("first")).select(F.col("doc_id").alias("_gone")).distinct()
+    twice = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))
     if twice.isEmpty():
-        return kept
-    same = name == F.col("_twice")
-    once = kept.join(twice, same, "left_semi").groupBy(id_col).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")).select("_row.*")
-    return kept.join(twice, same, "left_anti").unionByName(once)
+        return without_ids(docs, materialize(gone), id_col)
+    rest = without_ids(docs, materialize(gone.unionByName(twice.select(F.col("_twice").alias("_gone"))).distinct()), id_col)
+    told = found.where("NOT bare").join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("key").alias("_set"), F.col("component").alias("_component"), F.col("first").alias("_first")).distinct()
+    again = _with_set_key(docs.join(twice, name == F.col("_twice"), "left_semi"), text_col, width)
+    same = (name == F.col("_id")) & (F.col("_key") == F.col("_set"))
+    linked = again.join(told.where("_first"), same).groupBy("_id", "_component").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")).select("_row.*")
+    return rest.unionByName(again.join(told, same, "left_anti").select(docs.columns)).unionByName(linked)

@@ -70,3 +70,14 @@ def test_one_row_of_each_group_stays(spark):
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 3, 7, 8, 9]
     assert one_of_each_component(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_go_only_if_linked(spark):
+    from lattica.llm.jaccard_join import one_of_each_component
+
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(2, a, "kept"), (5, a + " end", "gone"), (5, b, "kept"), (7, b + " end", "gone"), (7, c, "kept"), (7, c + " end", "gone"), (8, "", "kept"), (8, None, "kept"), (None, a, "kept"), (6, "a text of its own", "kept")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    got = one_of_each_component(docs).collect()
+    # of two linked rows with one id either may stay
+    assert sorted((str(r.doc_id), str(r.text).removesuffix(" end")) for r in got) == sorted((str(i), str(t)) for i, t, x in rows if x == "kept")
