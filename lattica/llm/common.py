@@ -72,6 +72,19 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, size: str, rows: int, how: str = "inner", most: int = 1000, least: int = 1000) -> DataFrame:
+    """``left`` with ``right``, which has one row for each value of ``on`` and, as ``size``, how often ``left`` holds it.
+
+    Values in more than one in ``most`` of the ``rows`` of ``left`` (and in more than ``least`` rows) are fewer than
+    ``most``: those are broadcast, so their rows stay where they are. The others are joined by a shuffle, in which no
+    value weighs more than that.
+    """
+    bound = max(rows / most, least)
+    hot = right.where(F.col(size) > bound)
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.where(F.col(size) <= bound), on, how)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def free_name(taken, base: str) -> str:
     """``base`` or ``base_1``, ``base_2``... - a column name that ``taken`` does not use."""
     used, name, i = {c.lower() for c in taken}, base, 0

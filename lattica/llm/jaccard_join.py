@@ -1,24 +1,29 @@
 """N-gram Jaccard join in metric space: pivots, Voronoi regions, triangle-inequality windows.
 
-The Jaccard distance of shingle sets is a metric. The join goes down through regions:
-
-1. Pivots of one shingle. A document is at distance below 1 of such a pivot only if it holds the
-   shingle, and under one order of all shingles its cell is that of its first. Two documents within
-   ``eps`` of each other share one of the first ``n - ceil(t n) + 1`` shingles of that order, so a
-   document is replicated into the regions of this window, and into no others. The order puts
-   shingles of a single text first; a document whose window holds only those has no partner at all
-   and goes no further. Which shingles two different texts share comes from all texts: per-range
-   sorted hashes, merged into one bitmap of bounded size.
-2. Documents that share a region and may be near in size form coarse regions, the connected parts of
-   a star graph (each region and size class links to its least member). No pair is made there.
-3. Inside a coarse region documents serve as pivots: a pivot links all documents within ``eps`` at
-   once; they serve as pivots in turn against those not linked yet, and only against documents whose
-   distance to the first pivot differs by at most ``eps``, and whose size allows a link.
-   A region first repeats step 1 with its own order, its rarest shingles first, which takes it apart.
-   Coarse regions too large for a task do the same among themselves, and what is then too large is
-   split by document pivots; a document enters the
-   region of each pivot that is at most ``2 eps`` farther than its nearest one. Regions in which all
-   documents are linked to the pivot are done. What stays too large is joined block by block.
+The Jaccard distance of shingle sets is a metric. Links within ``eps`` are found by pivots that are documents:
+
+1. A document is compared with the pivots of its region. It belongs to the Voronoi region of its nearest
+   pivot and, by the triangle inequality, to that of each pivot at most ``2 eps`` farther: a linked pair
+   meets in the region of either's nearest pivot. Documents linked with the region's pivot need not be
+   compared with each other, and only those not closer to it by more than ``eps`` than the nearest unlinked
+   one are kept; a region without an unlinked one is done.
+2. Pivots have met their whole region and leave it. Regions go down to new pivots, round after round, until
+   each fits a leaf: ``LEAF_TEXTS`` documents and ``LEAF_SHINGLES`` shingles. A leaf is one task's, which
+   goes on with the same rule by itself (``link_region``) until nothing is left to compare.
+3. Where pivots do not at least halve the pairs of a region (all its documents about equally far from all
+   pivots), its documents are dealt into blocks, and each pair of blocks is a leaf of its own.
+
+All documents of a region are dealt over tasks of leaf size in every round, whatever its size. Most texts are at
+distance 1 from nearly all others, where no window tells regions apart, so cells come before regions:
+
+* Only documents that may have a partner enter. Two documents within ``eps`` share one of the first
+  ``n - ceil(t n) + 1`` shingles of any common order; the order puts shingles of a single text first, and a
+  document whose first ones are only those goes no further. Which shingles several texts hold comes from all
+  texts: per-range sorted hashes, merged into one bitmap. Beyond ``MAX_SLOTS`` the bitmap is no longer
+  broadcast: shingles travel to their counts and back instead.
+* Documents that share one of these first shingles and may be near in size are one cell (the connected parts
+  of a star graph). Cells too large for a leaf are cut once more by shingles counted among them alone. Cells are the
+  regions that the first pivots are taken from. No pair is made there.
 
 Sets are sets of 64-bit shingle hashes; equal sets are one vertex, whatever number of copies.
 
@@ -31,7 +36,6 @@ a component unless all of its members are null.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -39,21 +43,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import ragged
-from lattica.llm.common import U64, any_names, blocks, bound_batches, discard, materialize, mix, plus, pow2, shingle_sets, texts, utf8
+from lattica.llm.common import U64, any_names, blocks, bound_batches, discard, materialize, mix, plus, pow2, shingle_sets, spread_join, texts, utf8
 from lattica.llm.components import connected_components
 from lattica.llm.exact_dedup import without_ids
 
 #: Shingle hashes below 2**SAMPLE_BITS (a quarter of all values) are tested for being in one text only.
 SAMPLE_BITS = 62
-#: Slots of 2 bits for shared shingles: so many a document, and at most (64 MB).
+#: Slots of 2 bits for shared shingles: so many a document, and at most (64 MB, broadcast).
 SLOTS_PER_DOC, MAX_SLOTS = 512, 1 << 28
+#: The bitmap serves up to so many times the documents that its slots are made for.
+SPARE = 16
 #: From so many sets on a shingle is common, or frequent; it then stands later in the order.
 COMMON, FREQUENT = 8, 64
 #: Documents a range of hashes is made for.
 DOCS_PER_RANGE = 8192
-#: Shingles that a task joins at once; larger coarse regions are split.
-LEAF_SHINGLES = 6_000_000
-PIVOTS, ROUNDS = 8, 3
+#: Texts and shingles of a region that one task joins; larger regions are taken apart by pivots.
+LEAF_TEXTS, LEAF_SHINGLES = 256, 400_000
+PIVOTS = 8
 
 
 def _need(n, num: int, den: int):
@@ -75,7 +81,10 @@ def _stored_sets(batch):
 
 def _set_key(u: np.ndarray) -> int:
     """One number for a set; equal sets have equal numbers."""
-    return int((mix(u).sum(dtype=U64) + U64(len(u)) * U64(0x9E3779B97F4A7C15)).astype(np.int64)) if len(u) else 0
+    if not len(u):
+        return 0
+    key = (int(mix(u).sum(dtype=U64)) + len(u) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+    return key - (key >> 63 << 64)
 
 
 def _slot(h: np.ndarray, bits: int) -> np.ndarray:
@@ -107,7 +116,7 @@ def shared_shingles(sets: DataFrame, read, sample: int, ranges: int, slots: int)
             for u in read(batch):
                 part = u[:_sampled(u, sample)]
                 hs.append(part)
-                tags.append(np.full(len(part), _set_key(u) & 0xFFFFFFFF, np.uint32))
+                tags.append(np.full(len(part), _set_key(u) & 0xFFFFFFFFFFFFFFFF, U64))
             if not hs:
                 continue
             h, tag = _capped(np.concatenate(hs), np.concatenate(tags))
@@ -120,9 +129,9 @@ def shared_shingles(sets: DataFrame, read, sample: int, ranges: int, slots: int)
         hs, tags = [], []
         for blob in table.column("blob"):
             data = blob.as_py()
-            n = len(data) // 12
+            n = len(data) // 16
             hs.append(np.frombuffer(data, U64, n))
-            tags.append(np.frombuffer(data, np.uint32, n, 8 * n))
+            tags.append(np.frombuffer(data, U64, n, 8 * n))
         h, _ = _capped(np.concatenate(hs), np.concatenate(tags))
         at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         n = np.diff(np.r_[at, len(h)])
@@ -184,6 +193,53 @@ def _windows(docs: DataFrame, width: int, num: int, den: int, packed, ranges: in
     return docs.mapInArrow(run, "doc_id long, key long, n long, window binary, shingles binary")
 
 
+def _windows_by_exchange(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``_windows`` for more texts than a bitmap of bounded size can tell apart, as two tables.
+
+    Each sampled shingle travels to its count; those that several sets hold come back to the sets. Shingles in
+    more than one in a thousand rows get their count by broadcast (fewer than a thousand), so none gathers in a task.
+    """
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            keys, sizes, sets = [], [], []
+            for u in _block_sets(batch.column(1), width):
+                key = _set_key(u)
+                keys.append(key)
+                sizes.append(len(u))
+                sets.append(None if key in seen or not len(u) else u.tobytes())
+                seen.add(key)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "key", "n", "shingles"])
+
+    def sampled(batches):
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            parts = [u[:_sampled(u, SAMPLE_BITS)] for u in _stored_sets(batch.select([1]))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, [len(x) for x in parts])), pa.array(np.concatenate([np.zeros(0, U64), *parts]).view(np.int64))], ["key", "s"])
+
+    def windows(batches):
+        for batch in batches:
+            found = []
+            for u, shared in zip(_stored_sets(batch.select([2])), batch.column(3).to_pylist(), strict=True):
+                n = _sampled(u, SAMPLE_BITS)
+                own, most = n - len(shared), len(u) - _need(len(u), num, den) + 1
+                found.append(None if own >= most else np.concatenate([np.array([x["s"] for x in shared], np.int64).view(U64), u[n:]])[:most - own].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), batch.column(2)], ["key", "n", "window", "shingles"])
+
+    table = materialize(docs.mapInArrow(run, "doc_id long, key long, n long, shingles binary"))
+    sets = table.where("shingles IS NOT NULL").select("key", "n", "shingles")
+    rows = materialize(sets.select("key", "shingles").mapInArrow(sampled, "key long, s long"))
+    count = F.count(F.lit(1))
+    level = F.when(F.col("rows") < COMMON, 1).when(F.col("rows") < FREQUENT, 2).otherwise(3)
+    shared = materialize(rows.groupBy("s").agg(F.min("key").alias("a"), F.max("key").alias("b"), count.alias("rows")).where("a <> b").select("s", level.alias("level"), "rows"))
+    ranked = spread_join(rows, shared, "s", "rows", rows.count()).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("level", "s"))).alias("shared"))
+    none = F.array().cast("array<struct<level:int,s:bigint>>")
+    wide = sets.join(ranked, "key", "left").select("key", "n", "shingles", F.coalesce("shared", none).alias("shared")).mapInArrow(windows, "key long, n long, window binary, shingles binary")
+    wide = materialize(wide.where("window IS NOT NULL"))
+    discard(rows, shared)
+    return table.select("doc_id", "key", "n"), wide
+
+
 def _narrow(members: DataFrame, num: int, den: int) -> DataFrame:
     """Regions anew for members of regions that are too large: all their shingles, counted among them alone."""
     spark = members.sparkSession
@@ -240,56 +296,6 @@ def _coarse_edges(wide: DataFrame, num: int, den: int) -> DataFrame:
     return found.where("size < 0").select("a", "b").unionByName(to_first).unionByName(chain)
 
 
-def link_sets(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """For each set the place of the set that stands for its connected part, by pivots within one region."""
-    m = len(sets)
-    root = np.arange(m)
-    if m == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if den * both >= num * (len(sets[0]) + len(sets[1]) - both):
-            root[1] = 0
-        return root
-    n = np.array([len(s) for s in sets], np.int64)
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    at = np.r_[0, np.cumsum(n)]
-    flag = np.zeros(int(ids.max()) + 1, bool)
-    eps = 1 - num / den + 1e-9
-    first = None
-    open_rows = np.arange(m)
-    stack: list[int] = []
-    while len(open_rows) or stack:
-        if not stack:
-            p, open_rows = int(open_rows[0]), open_rows[1:]
-        else:
-            p = stack.pop()
-        if not len(open_rows):
-            break
-        size = n[open_rows]
-        near = (den * np.minimum(size, n[p]) >= num * np.maximum(size, n[p]))
-        if first is not None:
-            near &= np.abs(first[open_rows] - first[p]) <= eps
-        rows = open_rows if first is None else open_rows[near]
-        if not len(rows):
-            continue
-        own = ids[at[p]:at[p + 1]]
-        flag[own] = True
-        both = np.add.reduceat(flag[ids[ragged(at[rows], n[rows])]].astype(np.int32), np.cumsum(n[rows]) - n[rows]).astype(np.int64)
-        flag[own] = False
-        union = n[rows] + n[p] - both
-        if first is None:
-            first = np.ones(m)
-            first[p] = 0
-            first[rows] = 1 - both / union
-        linked = rows[den * both >= num * union]
-        if len(linked):
-            root[linked] = root[p]
-            stack += linked.tolist()
-            gone = np.zeros(m, bool)
-            gone[linked] = True
-            open_rows = open_rows[~gone[open_rows]]
-    return root
-
-
 def _parts(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least row that each of ``m`` rows is connected with through edges (a, b)."""
     part = np.arange(m)
@@ -304,35 +310,69 @@ def _parts(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return part
 
 
+def _overlaps(ids: np.ndarray, at: np.ndarray, n: np.ndarray, rows: np.ndarray, pivots: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    """How many shingles each of ``rows`` shares with each of ``pivots``."""
+    own = ids[ragged(at[rows], n[rows])]
+    starts = np.cumsum(n[rows]) - n[rows]
+    both = np.empty((len(rows), len(pivots)), np.int64)
+    for j, p in enumerate(pivots.tolist()):
+        mine = ids[at[p]:at[p + 1]]
+        flag[mine] = 1
+        both[:, j] = np.add.reduceat(flag[own], starts)
+        flag[mine] = 0
+    return both
+
+
+def regions(d: np.ndarray, linked: np.ndarray, eps: float) -> list[np.ndarray]:
+    """The Voronoi region of each pivot, with its window: places of the rows that have to meet there. ``d``: rows x pivots."""
+    least = d.min(1)
+    out = []
+    for j in range(d.shape[1]):
+        inside = d[:, j] <= least + 2 * eps
+        free = inside & ~linked[:, j]
+        if free.any():  # rows linked with the pivot stay only if they may be near an unlinked one
+            out.append(np.flatnonzero(inside & (~linked[:, j] | (d[:, j] >= d[free, j].min() - eps))))
+    return out
+
+
 def link_region(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """``link_sets`` for many sets: one-shingle pivots once more, rarest of this region first, then pivots."""
+    """For each set the place of the set that stands for its connected part: pivots, windows and regions, down to nothing."""
     m = len(sets)
-    if m <= 16:
-        return link_sets(sets, num, den)
     n = np.array([len(s) for s in sets], np.int64)
-    _, ids, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(m), n)
-    order = np.lexsort((ids, df[ids], row))
-    nth = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
-    keep = (nth < np.repeat(n - _need(n, num, den) + 1, n)) & (df[ids[order]] > 1)
-    shingle, row = ids[order][keep], row[keep]
-    size = np.floor(np.log(n) / (np.log(den / num) * 1.01)).astype(np.int64)[row]
-    order = np.lexsort((size, shingle))
-    shingle, size, row = shingle[order], size[order], row[order]
-    near = (shingle[1:] == shingle[:-1]) & (size[1:] - size[:-1] <= 1)
-    part = _parts(m, row[:-1][near], row[1:][near])
-    root = np.arange(m)
-    by_part = np.argsort(part, kind="stable")
-    at = np.flatnonzero(np.r_[True, part[by_part][1:] != part[by_part][:-1], True])
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        if b - a > 1:
-            rows = by_part[a:b]
-            root[rows] = rows[link_sets([sets[i] for i in rows], num, den)]
-    return root
+    if m == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return np.array([0, int(den * both < num * (int(n.sum()) - both))])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.r_[0, np.cumsum(n)]
+    flag = np.zeros(int(ids.max()) + 1, np.int64)
+    eps = 1 - num / den + 1e-9
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    work = [np.arange(m)]
+    while work:
+        rows = work.pop()
+        if len(rows) < 2:
+            continue
+        picked = np.unique(np.linspace(0, len(rows) - 1, min(PIVOTS, len(rows))).astype(np.int64))
+        pivots = rows[picked]
+        both = _overlaps(ids, at, n, rows, pivots, flag)
+        union = n[rows][:, None] + n[pivots][None, :] - both
+        linked = den * both >= num * union
+        i, j = np.nonzero(linked)
+        a.append(rows[i])
+        b.append(pivots[j])
+        rest = np.ones(len(rows), bool)
+        rest[picked] = False
+        rows = rows[rest]
+        if len(rows) > 1:
+            below = regions((1 - both / union)[rest], linked[rest], eps)
+            if 2 * sum(len(x) ** 2 for x in below) > len(rows) ** 2:  # not taken apart: the next pivots try all of them
+                below = [np.unique(np.concatenate(below))]
+            work += [rows[x] for x in below]
+    return _parts(m, np.concatenate(a), np.concatenate(b))
 
 
 def _join_regions(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, root) of the documents of each region that are linked with others; members: region, key, shingles."""
+    """(a, b): documents of each region and those that stand for their connected part; members: region, key, shingles."""
     def run(batches):
         region, keys, sets = None, [], []
 
@@ -358,120 +398,128 @@ def _join_regions(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.select("region", "key", "shingles").repartition("region").sortWithinPartitions("region", "key").mapInArrow(run, "a long, b long")
 
 
-def _split(members: DataFrame, num: int, den: int, turn: int) -> DataFrame:
-    """One round of document pivots over regions that are too large: links to pivots, and the regions below.
+def _meet_pivots(members: DataFrame, num: int, den: int, turn: int) -> DataFrame:
+    """One round of pivots over regions larger than a leaf; members: region, parts, key, shingles.
 
-    Rows with ``b`` are links (a, b). Rows with ``shingles`` are members of the region of one pivot,
-    with the distance to it and whether that already links them.
+    Rows with ``b`` are links (a, b) to pivots. Rows with ``shingles`` are the other members, in the region of
+    each pivot whose window holds them, with the distance to it and whether that links them. A region is dealt
+    over ``parts`` tasks, and its pivots go to each.
     """
-    picked = members.groupBy("region", F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(PIVOTS)).alias("i")).agg(F.min_by(F.struct("key", "shingles"), F.xxhash64(F.lit(turn), "key")).alias("p"))
-    pivots = picked.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("i", "p.key", "p.shingles"))).alias("pivots"))
     eps = 1 - num / den + 1e-9
-
-    def run(batches):
-        known: dict[str, list] = {}
-        for batch in batches:
-            out = defaultdict(list)
-            for i in range(batch.num_rows):
-                region, key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if region not in known:
-                    known = {region: [(x["i"], x["key"], np.frombuffer(x["shingles"], U64)) for x in batch.column(3)[i].as_py()]}
-                own = np.frombuffer(batch.column(2)[i].as_py(), U64)
-                seen = []
-                for j, pk, p in known[region]:
-                    both = len(np.intersect1d(own, p, assume_unique=True))
-                    union = len(own) + len(p) - both
-                    seen.append((1 - both / union, j, pk, den * both >= num * union))
-                least = min(seen)[0]
-                for d, j, pk, linked in seen:
-                    if linked and pk != key:
-                        out["link"].append((key, pk))
-                    if d <= least + 2 * eps:
-                        out["row"].append((f"{region}/{j}", key, own.tobytes(), d, linked))
-            links, rows = out["link"], out["row"]
-            yield pa.RecordBatch.from_pydict({
-                "a": pa.array([x[0] for x in links] + [None] * len(rows), pa.int64()), "b": pa.array([x[1] for x in links] + [None] * len(rows), pa.int64()),
-                "region": pa.array([None] * len(links) + [x[0] for x in rows], pa.string()), "key": pa.array([None] * len(links) + [x[1] for x in rows], pa.int64()),
-                "shingles": pa.array([None] * len(links) + [x[2] for x in rows], pa.binary()), "d": pa.array([None] * len(links) + [x[3] for x in rows], pa.float64()), "linked": pa.array([None] * len(links) + [x[4] for x in rows], pa.bool_())})
-
-    return members.join(pivots, "region").select("region", "key", "shingles", "pivots").mapInArrow(run, "a long, b long, region string, key long, shingles binary, d double, linked boolean")
-
-
-def _join_large(members: DataFrame, num: int, den: int, leaf: int) -> DataFrame:
-    """Links (a, b) inside regions of more than ``leaf`` shingles."""
+    mark = F.xxhash64("key", F.lit(turn))
+    chosen = members.groupBy("region", F.pmod(mark, F.lit(PIVOTS)).alias("i")).agg(F.min_by("key", mark).alias("key"))
+    pivots = materialize(members.join(chosen.select("region", "key"), ["region", "key"], "left_semi").dropDuplicates(["region", "key"]))
+    pivots = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("key").alias("pivot"), F.col("shingles").alias("set"))
+    kinds = {"a": pa.int64(), "b": pa.int64(), "region": pa.string(), "cell": pa.string(), "key": pa.int64(), "shingles": pa.binary(), "d": pa.float64(), "linked": pa.bool_()}
+    dealt = members.select("region", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "shingles")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({k: pa.array([], t) for k, t in kinds.items()})
+        region = left.column("region")[0].as_py()
+        right = right.sort_by("pivot")
+        names = right.column("pivot").to_numpy()
+        own = left.column("key").to_numpy()
+        sets = [np.frombuffer(x.as_py(), U64) for column in (left.column("shingles"), right.column("set")) for x in column]
+        n = np.array([len(s) for s in sets], np.int64)
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        rows, pivots = np.arange(len(own)), np.arange(len(own), len(sets))
+        both = _overlaps(ids, np.r_[0, np.cumsum(n)], n, rows, pivots, np.zeros(int(ids.max()) + 1, np.int64))
+        union = n[rows][:, None] + n[pivots][None, :] - both
+        d, linked = 1 - both / union, den * both >= num * union
+        i, j = np.nonzero(linked & (own[:, None] != names[None, :]))
+        k, at = np.nonzero((d <= d.min(1, keepdims=True) + 2 * eps) & ~np.isin(own, names)[:, None])
+        no_row, no_link = [None] * len(i), [None] * len(k)
+        columns = {
+            "a": own[i].tolist() + no_link, "b": names[j].tolist() + no_link, "region": [region] * (len(i) + len(k)), "cell": no_row + [f"{region}/{x}" for x in names[at].tolist()],
+            "key": no_row + own[k].tolist(), "shingles": no_row + [sets[x].tobytes() for x in k.tolist()], "d": no_row + d[k, at].tolist(), "linked": no_row + linked[k, at].tolist()}
+        return pa.table({c: pa.array(columns[c], t) for c, t in kinds.items()})
+
+    return dealt.groupBy("region", "part").cogroup(pivots.groupBy("region", "part")).applyInArrow(run, "a long, b long, region string, cell string, key long, shingles binary, d double, linked boolean")
+
+
+def _join_cells(members: DataFrame, num: int, den: int, leaf: tuple[int, int]) -> DataFrame:
+    """Links (a, b) inside cells of any size, by rounds of pivots down to leaves; members: region, key, shingles."""
     eps = 1 - num / den + 1e-9
-    size = F.length("shingles") / 8
-    links, small = [], []
-    for turn in range(ROUNDS):
-        made = materialize(_split(members, num, den, turn))
+    count, size = F.count(F.lit(1)), F.length("shingles") / 8
+    parts = F.greatest(F.ceil(F.col("docs") / leaf[0]), F.ceil(F.col("total") / leaf[1])).cast("int")
+    links, turn, held = [], 0, members
+    while True:
+        sizes = materialize(members.groupBy("region").agg(count.alias("docs"), F.sum(size).alias("total")).withColumn("parts", parts))
+        all_rows = sizes.agg(F.sum("docs")).first()[0] or 0
+        placed = spread_join(members, sizes, "region", "docs", all_rows)
+        links.append(materialize(_join_regions(placed.where("parts = 1 AND docs > 1"), num, den)))
+        if sizes.where("parts > 1").isEmpty():
+            break
+        made = materialize(_meet_pivots(placed.where("parts > 1").select("region", "parts", "key", "shingles"), num, den, turn))
         links.append(made.where("b IS NOT NULL").select("a", "b"))
         rows = made.where("shingles IS NOT NULL")
-        stats = rows.groupBy("region").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("least"))
-        rows = rows.join(stats.where("least IS NOT NULL"), "region").where(~F.col("linked") | (F.col("d") >= F.col("least") - eps)).select("region", "key", "shingles")
-        rows = materialize(rows)
-        sizes = rows.groupBy("region").agg(F.sum(size).alias("total"))
-        small.append(rows.join(sizes.where(F.col("total") <= leaf), "region", "left_semi"))
-        members = rows.join(sizes.where(F.col("total") > leaf), "region", "left_semi")
-        if members.isEmpty():
-            break
-    else:  # what pivots do not split: every pair of blocks of a region, each in a task's bounds
-        sizes = members.groupBy("region").agg(F.ceil(F.sum(size) * 2 / leaf).cast("int").alias("parts"))
-        own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-        paired = members.join(sizes, "region").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        small.append(paired.select(F.concat_ws("/", "region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "key", "shingles"))
-    for rows in small:
-        links.append(_join_regions(rows, num, den))
+        stats = materialize(rows.groupBy("cell").agg(count.alias("docs"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("least")))
+        kept = spread_join(rows, stats.where("least IS NOT NULL"), "cell", "docs", stats.agg(F.sum("docs")).first()[0] or 0)
+        kept = materialize(kept.where(~F.col("linked") | (F.col("d") >= F.col("least") - eps)).select("region", "cell", "key", "shingles"))
+        work = kept.groupBy("region", "cell").agg(count.cast("double").alias("n")).groupBy("region").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+        stuck = materialize(work.join(sizes, "region").where("2 * work > docs * docs").select("region", (2 * F.col("parts")).alias("blocks"), "docs"))
+        discard(held, stats)
+        held = kept
+        members = kept.select(F.col("cell").alias("region"), "key", "shingles")
+        if not stuck.isEmpty():
+            whole = spread_join(kept.dropDuplicates(["region", "key"]), stuck, "region", "docs", all_rows)
+            own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+            paired = whole.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            paired = paired.select(F.concat_ws("/", "region", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")).alias("region"), "key", "shingles")
+            links.append(materialize(_join_regions(paired, num, den)))
+            others = sizes.select("region", "docs").join(stuck, "region", "left_anti")
+            held = members = materialize(spread_join(kept, others, "region", "docs", all_rows).select(F.col("cell").alias("region"), "key", "shingles"))
+            discard(kept)
+        turn += 1
     out = links[0]
     for x in links[1:]:
         out = out.unionByName(x)
     return out
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100, leaf: int = LEAF_SHINGLES) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100, leaf: tuple[int, int] = (LEAF_TEXTS, LEAF_SHINGLES), most_slots: int = MAX_SLOTS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Documents link when ``den * overlap >= num * union``; component_id is the smallest doc_id that
     links reach. Exact up to collisions of 64-bit hashes.
     """
-    return _components(docs, id_col, text_col, width, num, den, leaf).select("doc_id", "n_shingles", "component_id")
+    return _components(docs, id_col, text_col, width, num, den, leaf, most_slots).select("doc_id", "n_shingles", "component_id")
+
+
+def _cells(slim: DataFrame, rows: int, width: int, num: int, den: int, most_slots: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n) of every document; (key, n, window, shingles) of those that may have a partner."""
+    ranges, slots = max(16, pow2(rows / DOCS_PER_RANGE)), max(1 << 20, pow2(rows * SLOTS_PER_DOC))
+    if slots > most_slots * SPARE:
+        return _windows_by_exchange(slim, width, num, den)
+    packed = slim.sparkSession.sparkContext.broadcast(shared_shingles(slim.select("text"), lambda batch: _block_sets(batch.column(0), width), SAMPLE_BITS, ranges, min(most_slots, slots)))
+    table = materialize(_windows(slim, width, num, den, packed, ranges, min(most_slots, slots)))
+    return table.select("doc_id", "key", "n"), table.where("window IS NOT NULL").select("key", "n", "window", "shingles")
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, leaf: int) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, leaf: tuple[int, int] = (LEAF_TEXTS, LEAF_SHINGLES), most_slots: int = MAX_SLOTS) -> DataFrame:
     """The rows of ``jaccard_components`` with the key of the row's set and one key for all sets of its component."""
-    spark = docs.sparkSession
     slim = texts(docs, id_col, text_col)
     rows = slim.count()
-    ranges, slots = max(16, pow2(rows / DOCS_PER_RANGE)), min(MAX_SLOTS, max(1 << 20, pow2(rows * SLOTS_PER_DOC)))
-    packed = spark.sparkContext.broadcast(shared_shingles(slim.select("text"), lambda batch: _block_sets(batch.column(0), width), SAMPLE_BITS, ranges, slots))
-    table = materialize(_windows(slim, width, num, den, packed, ranges, slots))
-    wide = table.where("window IS NOT NULL")
-    coarse = connected_components(_coarse_edges(wide, num, den)).select(F.col("node").alias("key"), F.col("component").cast("string").alias("region"))
-    coarse = materialize(coarse)
-    sizes = wide.select("key", "n").distinct().join(coarse, "key").groupBy("region").agg(F.sum("n").alias("total"))
-    large = materialize(sizes.where(F.col("total") > leaf).select("region"))
-    members = wide.select("key", "shingles").join(coarse, "key")
-    links = _join_regions(members.join(large, "region", "left_anti"), num, den)
-    if not large.isEmpty():
-        big = materialize(members.join(large, "region", "left_semi").groupBy("region", "key").agg(F.first("shingles").alias("shingles")))
-        big = materialize(_narrow(big, num, den))
-        sizes = big.groupBy("region").agg(F.sum(F.length("shingles") / 8).alias("total"))
-        still = materialize(sizes.where(F.col("total") > leaf).select("region"))
-        links = links.unionByName(_join_regions(big.join(still, "region", "left_anti"), num, den))
-        if not still.isEmpty():
-            links = links.unionByName(_join_large(big.join(still, "region", "left_semi"), num, den, leaf))
-        roots = connected_components(links)
-    else:
-        links = materialize(links)
-        roots = links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-    roots = materialize(roots.select(F.col("node").alias("key"), "component"))
-    discard(coarse, large)
-    every = table.select("doc_id", "key", "n")
-    classes = every.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    least = classes.join(roots, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    named = least.groupBy("component").agg(F.min("first").alias("component_id"))
-    several = least.where("copies > 1").select("key", "component").unionByName(roots.join(classes.where("copies = 1"), "key", "left_semi").select("key", "component"))
-    moved = several.join(named, "component").select("key", "component", "component_id")
-    return every.join(moved, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "key", F.coalesce("component", "key").alias("component"))
+    every, wide = _cells(slim, rows, width, num, den, most_slots)
+    count = F.count(F.lit(1))
+    coarse = materialize(connected_components(_coarse_edges(wide, num, den)).select(F.col("node").alias("key"), F.col("component").cast("string").alias("region")))
+    sizes = materialize(wide.select("key", "n").distinct().join(coarse, "key").groupBy("region").agg(count.alias("docs"), F.sum("n").alias("total")))
+    placed = materialize(spread_join(coarse, sizes, "region", "docs", rows).select("key", "region", ((F.col("docs") > leaf[0]) | (F.col("total") > leaf[1])).alias("large")))
+    members = wide.select("key", "shingles").join(placed, "key").groupBy("region", "key", "large").agg(F.first("shingles").alias("shingles"))
+    links = materialize(_join_regions(members.where("NOT large"), num, den))
+    if not placed.where("large").isEmpty():
+        big = materialize(members.where("large").select("region", "key", "shingles"))
+        links = links.unionByName(_join_cells(materialize(_narrow(big, num, den)), num, den, leaf))
+        discard(big)
+    roots = materialize(connected_components(links).select(F.col("node").alias("key"), "component"))
+    discard(coarse, sizes, placed)
+    classes = every.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), count.alias("copies"))
+    least = materialize(classes.join(roots, "key", "left").where("copies > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "key")))
+    named = least.groupBy("component").agg(F.min("first").alias("component_id"), count.alias("sets"))
+    moved = materialize(spread_join(least.select("key", "component", "copies"), named, "component", "sets", rows).select("key", "component", "component_id", "copies"))
+    joined = spread_join(every, moved, "key", "copies", rows, "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "key", F.coalesce("component", "key").alias("component"))
 
 
 def _with_set_key(docs: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -492,7 +540,7 @@ def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Only rows that a Bloom filter of the dropped ids lets through are joined. Rows whose doc_id occurs again are told apart by their sets
     of shingles, so a row goes only if it is linked with one that stays; rows without a doc_id stay.
     """
-    found = materialize(_components(docs, id_col, text_col, width, num, den, LEAF_SHINGLES).select("doc_id", "key", "component", (F.col("n_shingles") == 0).alias("bare"), (F.col("component_id") == F.col("doc_id")).alias("first")))
+    found = materialize(_components(docs, id_col, text_col, width, num, den).select("doc_id", "key", "component", (F.col("n_shingles") == 0).alias("bare"), (F.col("component_id") == F.col("doc_id")).alias("first")))
     name = F.col(id_col).cast("long")
     gone = found.where(~F.col("first")).select(F.col("doc_id").alias("_gone")).distinct()
     twice = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))

@@ -1,8 +1,11 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lattica.llm import jaccard_join
 from lattica.llm.jaccard_join import jaccard_components
 from tests.llm.helpers import words_of
 
@@ -45,12 +48,63 @@ def corpus(seed):
     return rows + [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "one two"), (8, "x " * 5000), (9, "x " * 5001)]
 
 
-@pytest.mark.parametrize("leaf", [6_000_000, 1500, 300])
-def test_components_match_brute_force(spark, leaf):
-    rows = corpus(leaf)
+def components(docs, **kw):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs, **kw).collect()}
+
+
+@pytest.mark.parametrize(("seed", "kw"), [(1, {}), (2, {"most_slots": 0}), (3, {"leaf": (16, 4000)}), (4, {"leaf": (4, 400), "width": 2, "num": 70})])
+def test_components_match_brute_force(spark, seed, kw):
+    rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs, leaf=leaf).collect()}
-    assert got == brute(rows)
+    assert components(docs, **kw) == brute(rows, kw.get("width", 3), kw.get("num", 90))
+
+
+def test_large_cells_go_down_by_pivots_and_windows(spark, monkeypatch):
+    """Production parameters: chains of near copies larger than a leaf, so that rounds over tasks, windows and leaves all run."""
+    r = random.Random(7)
+    rows, turns, cells = [], [], []
+    w = [f"w{i}" for i in range(80)]
+    for i in range(2000):  # far ends of the chain are not linked with each other
+        w[r.randrange(80)] = f"n{r.randrange(300)}"
+        rows.append((i, " ".join(w)))
+    real = jaccard_join._meet_pivots
+
+    def spy(members, num, den, turn):
+        turns.append(turn)
+        made = real(members, num, den, turn)
+        cells.append(made.where("cell IS NOT NULL").groupBy("region").agg(F.countDistinct("cell").alias("cells"), F.count("key").alias("rows"), F.countDistinct("key").alias("keys")).collect())
+        return made
+
+    monkeypatch.setattr(jaccard_join, "_meet_pivots", spy)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert components(docs) == brute(rows)
+    assert len(turns) >= 2 and any(x.cells > 1 and x.rows > x.keys for x in cells[0])
+
+
+def test_regions_keep_every_near_pair():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        points = r.random((60, 2)) * r.choice([0.3, 2])
+        eps = 0.1
+        d = np.sqrt(((points[:, None] - points[None, :]) ** 2).sum(2))
+        pivots = r.choice(60, 5, replace=False)
+        part = jaccard_join._parts(60, *[np.concatenate(x) for x in zip(*[(np.flatnonzero(d[:, p] <= eps), np.full((d[:, p] <= eps).sum(), p)) for p in pivots], *[(x[i], x[j]) for x in jaccard_join.regions(d[:, pivots], d[:, pivots] <= eps, eps) for i, j in [np.nonzero(d[np.ix_(x, x)] <= eps)]], strict=True)])
+        assert np.array_equal(part, jaccard_join._parts(60, *np.nonzero(d <= eps)))
+
+
+def test_sets_linked_in_one_task():
+    r = random.Random(5)
+    for size in (2, 3, 9, 40):
+        sets = []
+        for _ in range(size):
+            s = set(r.choice(sets)) if sets and r.random() < 0.8 else {r.getrandbits(60) for _ in range(40)}
+            for x in r.sample(sorted(s), r.choice([0, 1, 2])):
+                s.discard(x)
+                s.add(r.getrandbits(60))
+            sets.append(s)
+        near = [(i, j) for i in range(size) for j in range(size) if 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j])]
+        want = jaccard_join._parts(size, *np.array(near).T)
+        assert np.array_equal(jaccard_join.link_region([np.array(sorted(s), np.uint64) for s in sets], 90, 100), want)
 
 
 def test_empty_table_and_clashing_columns(spark):
