@@ -160,6 +160,18 @@ def equivalent(c: Column, o: Column) -> Column:
     return fold(c) == fold(o)
 
 
+def not_equals(c: Column, o: Column) -> Column:
+    return ~equals(c, o)
+
+
+def not_equivalent(c: Column, o: Column) -> Column:
+    return ~equivalent(c, o)
+
+
+def has_value(c: Column) -> Column:
+    return F.size(c) == 1
+
+
 def sort(c: Column, descending: bool = False) -> Column:
     return F.sort_array(c, not descending)
 
@@ -196,3 +208,42 @@ def repeat(start: Column, step: Callable[[Column], Column], depth: int) -> Colum
         out = front if out is None else F.array_union(out, front)
         front = select(front, step)
     return out
+
+
+# ---- types: collections of VARIANT values -------------------------------------------------------
+
+# Type names of the path language for the types that a VARIANT reports.
+TYPE_NAMES = {"STRING": "String", "BOOLEAN": "Boolean", "BIGINT": "Integer", "DOUBLE": "Decimal", "FLOAT": "Decimal", "DATE": "Date", "TIMESTAMP": "DateTime", "TIMESTAMP_NTZ": "DateTime"}
+
+
+def type_name(x: Column) -> Column:
+    """The type of a VARIANT; objects answer with their resourceType."""
+    kind = F.schema_of_variant(x)
+    plain = F.try_element_at(F.create_map(*[F.lit(v) for pair in TYPE_NAMES.items() for v in pair]), kind)
+    own = F.coalesce(F.try_variant_get(x, "$.resourceType", "string"), F.lit("Object"))
+    return F.when(kind.startswith("OBJECT"), own).when(kind.startswith("DECIMAL"), "Decimal").otherwise(plain)
+
+
+def of_type(c: Column, name: str) -> Column:
+    """The values of exactly this type; ``as`` the operator does the same."""
+    return F.filter(c, lambda x: F.coalesce(type_name(x) == name, F.lit(False)))
+
+
+def is_type(c: Column, name: str) -> Column:
+    """Of a collection of one; nothing for others."""
+    return F.when(F.size(c) == 1, F.coalesce(type_name(F.get(c, F.lit(0))) == name, F.lit(False)))
+
+
+def as_type(c: Column, name: str) -> Column:
+    """The value of a collection of one if it has the type; an error for more."""
+    return of_type(single(c), name)
+
+
+def type_of(c: Column) -> Column:
+    """{namespace, name} of each value."""
+    return F.transform(c, lambda x: F.struct(F.lit("System").alias("namespace"), type_name(x).alias("name")))
+
+
+def conforms_to(resource_type: Column, url: str) -> Column:
+    """Is the last segment of the url the type's name?"""
+    return resource_type == url.rstrip("/").rsplit("/", 1)[-1]

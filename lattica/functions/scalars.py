@@ -25,9 +25,12 @@ def last_index_of(x: Column, s: str) -> Column:
 
 
 def substring(x: Column, start: int, length: int | None = None) -> Column:
-    """From a 0-based start; nothing if it lies outside."""
-    part = F.substring(x, start + 1, length if length is not None else 2**31 - 1)
-    return F.when((F.lit(start) >= 0) & (F.lit(start) < F.length(x)), part)
+    """Bytes from a 0-based start, like the offsets above; nothing if it lies outside, or where bytes are no whole characters."""
+    if length is not None and length < 0:
+        raise ValueError("substring() of a negative length")
+    raw = x.cast("binary")
+    part = F.try_validate_utf8(F.substring(raw, start + 1, length if length is not None else 2**31 - 1).cast("string"))
+    return F.when((F.lit(start) >= 0) & (F.lit(start) < F.octet_length(x)), part)
 
 
 def length(x: Column) -> Column:
@@ -72,9 +75,20 @@ def escape(x: Column, kind: str) -> Column:
 
 
 def unescape(x: Column, kind: str) -> Column:
-    for plain, coded in reversed(ESCAPES[kind]):
-        x = F.replace(x, F.lit(coded), F.lit(plain))
-    return x
+    """One scan from the left, so what an escape gives is not read again: the text is cut at escapes, and each is replaced by itself."""
+    table = F.create_map(*[F.lit(v) for plain, coded in ESCAPES[kind] for v in (coded, plain)])
+    codes = "|".join("\\Q" + coded + "\\E" for _, coded in ESCAPES[kind])
+    pieces = F.regexp_extract_all(x, F.lit(f"(?s){codes}|."), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda t: F.coalesce(F.try_element_at(table, t), t)), "")
+
+
+def replace_matches(x: Column, pattern: str, by: str) -> Column:
+    return F.regexp_replace(x, "(?s)" + pattern, by)
+
+
+def to_string(x: Column, kind: str = "") -> Column:
+    """Canonical text; instants (``kind`` datetime) with a zone suffix."""
+    return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") if kind == "datetime" else x.cast("string")
 
 
 def split(x: Column, by: str) -> Column:
@@ -93,6 +107,19 @@ def folded(x: Column) -> Column:
 # ---- numbers ------------------------------------------------------------------------------------
 
 
+def concatenate(a: Column, b: Column) -> Column:
+    """``a & b``: nothing counts as an empty string."""
+    return F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+
+
+def negate(x: Column) -> Column:
+    return F.try_subtract(F.lit(0), x)
+
+
+def exp(x: Column) -> Column:
+    return F.exp(x)
+
+
 def add(a: Column, b: Column) -> Column:
     return F.try_add(a, b)
 
@@ -183,6 +210,62 @@ def to_date(x: Column) -> Column:
     return F.when(t.rlike(r"^\d{4}(-\d{2}(-\d{2})?)?$"), F.try_to_date(F.concat(t, F.when(F.length(t) == 4, "-01-01").when(F.length(t) == 7, "-01").otherwise("")), "yyyy-MM-dd"))
 
 
+_DATETIME = r"^\d{4}(-\d{2}(-\d{2}(T\d{2}(:\d{2}(:\d{2}(\.\d{1,9})?)?)?(Z|[+-]\d{2}:\d{2})?)?)?)?$"
+_TIME = r"^T?(([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d(\.\d{1,9})?)?)?)$"
+
+
+def to_datetime(x: Column) -> Column:
+    """The first instant (UTC, timestamp_ntz) of text with a date and perhaps a time; without a zone it is UTC."""
+    t = x.cast("string")
+    zone = F.coalesce(F.nullif(F.regexp_extract(t, r"T.*?(Z|[+-]\d{2}:\d{2})$", 1), F.lit("")), F.lit("Z"))
+    bare = F.regexp_replace(t, r"(T.*?)(Z|[+-]\d{2}:\d{2})$", "$1")
+    padded = F.concat(bare, F.substring(F.lit("0001-01-01T00:00:00"), F.length(bare) + 1, F.lit(19)), zone)
+    seconds = (F.unix_micros(padded.try_cast("timestamp")) / F.lit(1_000_000)).cast("decimal(18,6)")
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    return F.when(t.rlike(_DATETIME), epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds))
+
+
+def to_time(x: Column) -> Column:
+    """Text of a time of day as far as stated, without a leading T."""
+    t = x.cast("string")
+    return F.when(t.rlike(_TIME), F.regexp_extract(t, _TIME, 1))
+
+
+def _converts(to):
+    def test(x: Column) -> Column:
+        return F.when(x.isNotNull(), to(x).isNotNull())
+
+    test.__doc__ = f"Does ``{to.__name__}`` give a value?"
+    return test
+
+
+converts_to_integer, converts_to_decimal = _converts(to_integer), _converts(to_decimal)
+converts_to_date, converts_to_datetime, converts_to_time = _converts(to_date), _converts(to_datetime), _converts(to_time)
+
+
+def converts_to_string(x: Column) -> Column:
+    """Any single value does; an object does not, and it is no Column of a plain type."""
+    return F.when(x.isNotNull(), F.lit(True))
+
+
+def decimal_precision(x: Column) -> Column:
+    """Digits after the point of a number as text."""
+    return F.length(F.regexp_extract(x.cast("string"), r"\.(\d+)$", 1))
+
+
+def time_precision(x: Column) -> Column:
+    """Digits that a time states: 2, 4, 6 or 9."""
+    digits = F.length(F.regexp_replace(to_time(x), r"\D", ""))
+    return F.when(digits > 6, 9).otherwise(digits)
+
+
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1; texts that are both dates compare as dates, and only at equal precision."""
+    both = a.cast("string").rlike(_DATETIME) & b.cast("string").rlike(_DATETIME)
+    plain = F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
+    return F.when(both, compare_dates(a.cast("string"), b.cast("string"))).otherwise(plain)
+
+
 def date_precision(x: Column) -> Column:
     """Digits that a date states: 4, 6 or 8."""
     n = F.length(x.cast("string"))
@@ -198,3 +281,6 @@ def to_quantity(x: Column) -> Column:
     """struct(value, unit) of ``12 mg`` or ``12 'mg'``."""
     p = r"^([+-]?\d+(?:\.\d+)?)(?:\s+'?([^']+?)'?)?$"
     return F.when(x.rlike(p), F.struct(F.regexp_extract(x, p, 1).cast("decimal(28,9)").alias("value"), F.nullif(F.regexp_extract(x, p, 2), F.lit("")).alias("unit")))
+
+
+converts_to_quantity = _converts(to_quantity)

@@ -83,6 +83,93 @@ def all_text(html: Column, *others: Column) -> Column:
     return F.array_join(F.array_distinct(parts), " ")
 
 
+def number_values(x: Column) -> Column:
+    """Numbers, or text of numbers, as exact decimals; other text gives nothing."""
+    return F.transform(F.filter(F.transform(x, lambda v: v.cast("string").try_cast("decimal(28,9)")), lambda v: v.isNotNull()), lambda v: F.struct(v.alias("value")))
+
+
+def quantity_values(x: Column) -> Column:
+    """value, system, code, unit of quantities that have a value."""
+    return F.transform(F.filter(x, lambda q: q["value"].isNotNull()), lambda q: F.struct(q["value"].cast("decimal(28,9)").alias("value"), q["system"].alias("system"), q["code"].alias("code"), q["unit"].alias("unit")))
+
+
+def identifier_types(identifiers: Column) -> Column:
+    """A row for each coding of an identifier's type, with its value."""
+    def rows(i: Column) -> Column:
+        return F.transform(i["type"]["coding"], lambda c: F.struct(c["system"].alias("type_system"), c["code"].alias("type_code"), F.lower(c["code"]).alias("type_code_ci"), i["value"].alias("value"), F.lower(i["value"]).alias("value_ci")))
+
+    return F.flatten(F.transform(F.filter(identifiers, lambda i: i["value"].isNotNull() & i["type"]["coding"].isNotNull()), rows))
+
+
+def concept_tokens(concepts: Column) -> Column:
+    """Tokens of codeable concepts: those of all their codings."""
+    return F.flatten(F.transform(F.filter(concepts, lambda c: c["coding"].isNotNull()), lambda c: coding_tokens(c["coding"])))
+
+
+def contact_tokens(contacts: Column) -> Column:
+    """Telephone numbers and the like: the use stands in for a system."""
+    return F.transform(F.filter(contacts, lambda c: c["value"].isNotNull()), lambda c: token(c["use"], c["value"]))
+
+
+def scalar_tokens(x: Column) -> Column:
+    """Codes and booleans as tokens without a system."""
+    return F.transform(F.filter(x, lambda v: v.isNotNull()), lambda v: token(F.lit(None).cast("string"), v.cast("string")))
+
+
+def date_ranges(dates: Column, periods: Column) -> Column:
+    """Ranges of dates and of periods with open ends."""
+    both = F.concat(F.transform(dates, date_range), F.transform(periods, lambda p: period_range(p["start"], p["end"])))
+    return F.array_distinct(F.filter(both, lambda r: r.isNotNull()))
+
+
+# The extraction that a parameter's type asks for.
+BY_TYPE = {"token": identifier_tokens, "string": name_strings, "number": number_values, "quantity": quantity_values}
+
+
+def routed(docs: DataFrame, key: Column, kind: str, parameters: list[tuple[str, str, Column]]) -> dict[str, DataFrame]:
+    """Parameter router: (name, type, elements) to one table of index rows for each type; types without a table are skipped."""
+    out: dict[str, DataFrame] = {}
+    for name, of, column in parameters:
+        if of in BY_TYPE:
+            rows = index_rows(docs, key, kind, name, BY_TYPE[of](column))
+            out[of] = rows if of not in out else out[of].unionByName(rows)
+    return out
+
+
+def resolved_parameters(parameters: DataFrame, kind: str) -> DataFrame:
+    """Parameters of a type: its own definition of a code goes before that of DomainResource, and that before Resource's."""
+    rank = F.when(F.col("base") == kind, 0).when(F.col("base") == "DomainResource", 1).when(F.col("base") == "Resource", 2)
+    rest = [c for c in parameters.columns if c != "code"]
+    best = parameters.where(rank.isNotNull()).groupBy("code").agg(F.min_by(F.struct(*rest), rank).alias("p"))
+    return best.select("code", "p.*")
+
+
+def compartments(definitions: DataFrame) -> DataFrame:
+    """(compartment, resource_type, parameter_name) of definitions with resource: array of (code, param array)."""
+    rows = definitions.select(F.col("code").alias("compartment"), F.explode("resource").alias("r"))
+    return rows.select("compartment", F.col("r.code").alias("resource_type"), F.explode("r.param").alias("parameter_name")).distinct()
+
+
+def code_system_concepts(systems: DataFrame, depth: int) -> DataFrame:
+    """(system, code, display, parent) of nested concepts, level by level down to ``depth``."""
+    level = systems.select(F.col("url").alias("system"), F.lit(None).cast("string").alias("parent"), F.explode("concept").alias("c"))
+    out = None
+    for i in range(depth):
+        rows = level.select("system", F.col("c.code").alias("code"), F.col("c.display").alias("display"), "parent")
+        out = rows if out is None else out.unionByName(rows)
+        if i + 1 < depth:
+            level = level.select("system", F.col("c.code").alias("parent"), F.explode("c.concept").alias("c"))
+    return out
+
+
+def concept_map_rows(maps: DataFrame) -> DataFrame:
+    """Groups, elements and targets of concept maps as mapping rows."""
+    g = maps.select(F.explode("group").alias("g"))
+    e = g.select("g.source", "g.target", F.explode("g.element").alias("e"))
+    t = e.select(F.col("source").alias("source_system"), F.col("target").alias("target_system"), F.col("e.code").alias("source_code"), F.explode("e.target").alias("t"))
+    return t.select("source_system", "source_code", "target_system", F.col("t.code").alias("target_code"), F.col("t.equivalence").alias("equivalence"))
+
+
 def membership_edges(groups: DataFrame, kind: str, key: str, members: str, active: Column) -> DataFrame:
     """(collection_type, collection_id, member_type, member_id) of active collections; members are references."""
     m = groups.where(active).select(F.lit(kind).alias("collection_type"), F.col(key).alias("collection_id"), F.explode(members).alias("m"))

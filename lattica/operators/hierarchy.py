@@ -45,3 +45,21 @@ def above(tree: DataFrame, node: str) -> DataFrame:
 def around(tree: DataFrame, node: str) -> DataFrame:
     """Itself, its ancestors and its descendants."""
     return below(tree, node).unionByName(above(tree, node)).distinct()
+
+
+def variant_descendants(docs: DataFrame, key: str, value: str) -> DataFrame:
+    """(id, path, value) of all nodes below a VARIANT document, level by level until a level is empty; array items stand for their array."""
+    spark = docs.sparkSession
+    level = docs.select(F.col(key).alias("id"), F.lit("").alias("path"), F.col(value).alias("v"))
+    out = None
+    while True:
+        kind = F.schema_of_variant("v")
+        inner = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        below_ = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        at = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat_ws(".", F.nullif("path", F.lit("")), "key"))
+        texts = cut(below_.select("id", at.alias("path"), F.to_json("value").alias("value")))
+        if texts.isEmpty():
+            return out
+        level = texts.select("id", "path", F.parse_json("value").alias("v"))
+        nodes = texts.where(~F.col("value").startswith("["))
+        out = nodes if out is None else out.unionByName(nodes)

@@ -12,6 +12,10 @@ def current(versions: DataFrame) -> DataFrame:
     return versions.where("is_current AND NOT deleted")
 
 
+def deleted(versions: DataFrame) -> DataFrame:
+    return versions.where("is_current AND deleted")
+
+
 def read_version(versions: DataFrame, kind: str, key: str, version: int) -> DataFrame:
     return versions.where((F.col("resource_type") == kind) & (F.col("id") == key) & (F.col("version_id") == version))
 
@@ -58,6 +62,36 @@ def purge(versions: DataFrame, keys: DataFrame) -> DataFrame:
     return versions.join(keys, ID, "left_anti")
 
 
+def purge_version(versions: DataFrame, keys: DataFrame) -> DataFrame:
+    """Hard delete of single past versions (resource_type, id, version_id); a current version is kept."""
+    gone = keys.join(current_keys(versions), [*ID, "version_id"], "left_anti")
+    return versions.join(gone, [*ID, "version_id"], "left_anti")
+
+
+def current_keys(versions: DataFrame) -> DataFrame:
+    return versions.where("is_current").select(*ID, "version_id")
+
+
+def replay(versions: DataFrame, entries: DataFrame) -> DataFrame:
+    """A history bundle: past versions of documents, with the numbers they had, beside those known; what is known stays as it is."""
+    new = entries.join(versions.select(*ID, "version_id"), [*ID, "version_id"], "left_anti")
+    both = versions.drop("is_current").unionByName(new.select(*[c for c in versions.columns if c != "is_current"]))
+    newest = both.groupBy(*ID).agg(F.max("version_id").alias("_newest"))
+    return both.join(newest, ID).withColumn("is_current", F.col("version_id") == F.col("_newest")).select(*versions.columns)
+
+
+def appended(versions: DataFrame, changes: DataFrame) -> DataFrame:
+    """Only the new versions that ``changes`` make, for a table that is appended to and never rewritten; ``newest`` reads it."""
+    last = versions.join(changes.select(*ID), ID, "left_semi").groupBy(*ID).agg(F.max("version_id").alias("_last"))
+    return changes.join(last, ID, "left").withColumn("version_id", (F.coalesce("_last", F.lit(0)) + 1).cast("int")).drop("_last")
+
+
+def newest(versions: DataFrame) -> DataFrame:
+    """The current version of each document by its number, deleted ones left out; no stored flag is needed."""
+    rest = [c for c in versions.columns if c not in ID]
+    return versions.groupBy(*ID).agg(F.max_by(F.struct(*rest), "version_id").alias("v")).select(*ID, "v.*").where(~F.col("deleted"))
+
+
 def renumbered(versions: DataFrame) -> DataFrame:
     """Versions of a batch numbered by time, the newest current."""
     by_time = Window.partitionBy(*ID).orderBy("last_updated")

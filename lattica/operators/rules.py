@@ -86,3 +86,20 @@ def differential(base: DataFrame, snapshot: DataFrame) -> DataFrame:
     for c in cols:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"b_{c}"))
     return j.where(changed).select("path", *[v.alias(k) for k, v in cols.items()])
+
+
+def unknown_elements(rows: DataFrame, key: str, column: str, known: list[str]) -> DataFrame:
+    """Issues for keys of JSON objects that a schema does not name."""
+    found = rows.select(F.col(key).alias("id"), F.explode(F.json_object_keys(column)).alias("element")).where(~F.col("element").isin(known))
+    return found.select("id", F.concat(F.col("element"), F.lit("-unknown")).alias("rule"), F.lit("error").alias("severity"), F.lit("").alias("message"))
+
+
+def deep_snapshot(snapshots: DataFrame, path: str, depth: int) -> DataFrame:
+    """Elements of a type with those of its elements' types below them, down to ``depth``. Rows: type, path, of (type of the element)."""
+    out = snapshots.where(F.col("type") == path).select("path", "of")
+    level = out
+    for _ in range(depth):
+        inner = snapshots.select(F.col("type").alias("of"), F.substring_index("path", ".", -1).alias("_last"), F.col("of").alias("_of"))
+        level = level.join(inner, "of").select(F.concat_ws(".", "path", "_last").alias("path"), F.col("_of").alias("of"))
+        out = out.unionByName(level)
+    return out

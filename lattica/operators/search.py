@@ -26,20 +26,29 @@ def _any(parts: list[Column]) -> Column:
 
 
 def keys(rows: DataFrame, predicate: Column) -> DataFrame:
-    return rows.where(predicate).select(*KEY).distinct()
+    """Keys with a matching row, once each: what is returned or counted."""
+    return hits(rows, predicate).distinct()
+
+
+def hits(rows: DataFrame, predicate: Column) -> DataFrame:
+    """Keys of matching rows, repeats included: what only goes into a semi or anti join, which needs no distinct."""
+    return rows.where(predicate).select(*KEY)
 
 
 def string_is(values: list[str], modifier: str = "") -> Column:
-    """Default: the normalised value starts with the normalised search; ``exact``, ``contains``."""
+    """Default: the normalised value starts with the normalised search; ``exact``, ``contains``, ``text`` (words), ``eq``, ``ew`` (ends with)."""
     v, n = F.col("value"), F.col("value_normalized")
     if modifier == "exact":
         return v.isin(values)
+    if modifier == "text":
+        return _any([words_match(all_of=x.split(), column="value") for x in values])
     search = [normalized(F.lit(x)) for x in values]
-    return _any([n.contains(x) if modifier == "contains" else n.startswith(x) for x in search])
+    test = {"contains": n.contains, "eq": n.__eq__, "ew": n.endswith}.get(modifier, n.startswith)
+    return _any([test(x) for x in search])
 
 
 def token_is(values: list[str], modifier: str = "") -> Column:
-    """``code``, ``system|code``, ``|code`` (no system), ``system|``; ``above``/``below`` by code prefix, ``text``."""
+    """``code``, ``system|code``, ``|code`` (no system), ``system|``; ``above``/``below`` by code prefix, ``text`` (display), ``code-text``, ``text-advanced`` (words of the display)."""
     def one(x: str) -> Column:
         system, bar, code = x.rpartition("|")
         c = F.col("code_ci")
@@ -48,7 +57,11 @@ def token_is(values: list[str], modifier: str = "") -> Column:
         if modifier == "below":
             return F.lit(code.lower()).startswith(c)
         if modifier == "text":
-            return F.lower("code").startswith(code.lower())
+            return F.lower("display").startswith(code.lower())
+        if modifier == "code-text":
+            return c.startswith(code.lower())
+        if modifier == "text-advanced":
+            return words_match(all_of=code.split(), column="display")
         by_code = F.col("code") == code if system == "http://unitsofmeasure.org" else c == code.lower()
         if not bar:
             return by_code
@@ -88,10 +101,10 @@ def precision_of(literal: str) -> Decimal:
 def number_is(prefix: str, literal: str) -> Column:
     """Numbers with the precision they state: 100 means 99.5 up to 100.5."""
     n, p, v = Decimal(literal), precision_of(literal), F.col("value")
-    low, high = float(n - p), float(n + p)
+    low, high = F.lit(n - p), F.lit(n + p)
     return {
         "eq": (v >= low) & (v < high), "ne": (v < low) | (v >= high), "gt": v >= high, "sa": v >= high, "lt": v < low, "eb": v < low, "ge": v >= low, "le": v < high,
-        "ap": F.abs(v - float(n)) <= float(max(abs(n) / 10, p))}[prefix]
+        "ap": F.abs(v - F.lit(n)) <= F.lit(max(abs(n) / 10, p))}[prefix]
 
 
 def quantity_is(prefix: str, literal: str) -> Column:
@@ -109,16 +122,76 @@ def quantity_is(prefix: str, literal: str) -> Column:
 
 
 def reference_is(values: list[str]) -> Column:
-    """``Type/id`` or ``id`` (any type)."""
+    """``Type/id``, ``id`` (any type), ``Type/id/_history/v``, an absolute url, ``url|version`` of a canonical, or ``#fragment``.
+
+    A reference without a version matches any; one with a version only that. A canonical's version finds those it begins.
+    """
     def one(x: str) -> Column:
+        if x.startswith("#"):
+            return (F.col("reference_kind") == "fragment") & (F.col("target_id") == x[1:])
+        if "|" in x:
+            url, version = x.rsplit("|", 1)
+            return (F.col("canonical_url") == url) & version_begins(F.col("canonical_version"), version)
+        if ":" in x.split("/")[0]:
+            return (F.col("target_url") == x) | (F.col("canonical_url") == x)
+        x, _, version = x.partition("/_history/")
         kind, _, key = x.rpartition("/")
-        return (F.col("target_id") == key) & (F.col("target_type") == kind if kind else F.lit(True))
+        p = (F.col("target_id") == key) & (F.col("target_type") == kind if kind else F.lit(True))
+        return p & (F.col("target_version_id") == version) if version else p
+
+    return _any([one(x) for x in values])
+
+
+def version_begins(column: Column, version: str) -> Column:
+    """``1.2`` finds 1.2, 1.2.3 and 1.2-draft."""
+    return (column == version) | column.startswith(version + ".") | column.startswith(version + "-")
+
+
+def version_order(column: Column) -> Column:
+    """A dotted version as six numbers, which compare in order; null if a part is no number."""
+    parts = F.transform(F.split(column, r"[.]"), lambda x: x.try_cast("bigint"))
+    padded = F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("bigint"), 6)), 1, 6)
+    return F.when(~F.exists(padded, lambda x: x.isNull()), padded)
+
+
+def canonical_is(value: str, modifier: str) -> Column:
+    """``url|version`` with ``above`` (that version or later) or ``below`` (that version or earlier)."""
+    url, version = value.rsplit("|", 1)
+    own, asked = version_order(F.col("canonical_version")), F.array(*[F.lit(int(x)).cast("bigint") for x in (version.split(".") + ["0"] * 6)[:6]])
+    return (F.col("canonical_url") == url) & (own >= asked if modifier == "above" else own <= asked)
+
+
+def identifier_is(values: list[str]) -> Column:
+    """``:identifier`` and ``:of-type`` (``system|code|value``) on rows of identifiers."""
+    def one(x: str) -> Column:
+        parts = x.split("|")
+        if len(parts) < 3:
+            return token_is([x])
+        p = (F.col("type_code_ci") == parts[1].lower()) & (F.col("value_ci") == parts[2].lower())
+        return p & (F.col("type_system") == parts[0]) if parts[0] else p
 
     return _any([one(x) for x in values])
 
 
+def id_is(values: list[str]) -> Column:
+    """``_id``."""
+    return F.col("resource_id").isin(values)
+
+
+def last_updated_is(prefix: str, literal: str) -> Column:
+    """``_lastUpdated``: the nine prefixes and ``po`` on an instant."""
+    low, high = date_range(literal)
+    at = F.col("last_updated")
+    if prefix == "ap":
+        slack = F.greatest((F.unix_micros(high.cast("timestamp")) - F.unix_micros(low.cast("timestamp"))) / 10, F.lit(86_400_000_000)).cast("long")
+        us = F.unix_micros(at.cast("timestamp"))
+        return (us >= F.unix_micros(low.cast("timestamp")) - slack) & (us < F.unix_micros(high.cast("timestamp")) + slack)
+    inside = (at >= low) & (at < high)
+    return {"eq": inside, "po": inside, "ne": ~inside, "gt": at >= high, "sa": at >= high, "lt": at < low, "eb": at < low, "ge": at >= low, "le": at < high}[prefix]
+
+
 def uri_is(values: list[str], modifier: str = "", column: str = "value") -> Column:
-    """Exact, or ``below``/``above`` at boundaries of path segments."""
+    """Exact, ``contains`` (normalised), or ``below``/``above`` at boundaries of path segments."""
     v = F.regexp_replace(F.col(column), "/+$", "")
 
     def one(x: str) -> Column:
@@ -169,6 +242,55 @@ def without(base: DataFrame, found: DataFrame) -> DataFrame:
     return base.join(found, KEY, "left_anti")
 
 
+def token_in(rows: DataFrame, expansion: DataFrame) -> DataFrame:
+    """``:in``: keys with a code of an expansion (system, code)."""
+    codes = expansion.select("system", F.lower("code").alias("code_ci")).distinct()
+    return rows.join(codes, ["system", "code_ci"], "left_semi").select(*KEY).distinct()
+
+
+def token_not_in(rows: DataFrame, expansion: DataFrame) -> DataFrame:
+    """``:not-in``: keys none of whose codes is in an expansion."""
+    return without(rows.select(*KEY).distinct(), token_in(rows, expansion))
+
+
+def missing(base: DataFrame, ix: DataFrame, kind: str, parameter: str, absent: bool = True) -> DataFrame:
+    """``:missing``: resources without (or with) any value of a parameter."""
+    seen = rows_of(ix, kind, parameter).select(*KEY)
+    return without(base, seen) if absent else only(base, seen)
+
+
+def resolve(refs: DataFrame, documents: DataFrame) -> DataFrame:
+    """``resolve()``: reference rows with the document that they name, null where there is none."""
+    have = documents.withColumnsRenamed({"resource_type": "target_type", "resource_id": "target_id"})
+    return refs.join(have, ["target_type", "target_id"], "left")
+
+
+def edges_within(refs: DataFrame, page: DataFrame) -> DataFrame:
+    """References whose two ends are both in a set of resources."""
+    to = page.select(F.col("resource_type").alias("target_type"), F.col("resource_id").alias("target_id"))
+    return refs.join(page.select(*KEY), KEY, "left_semi").join(to, ["target_type", "target_id"], "left_semi")
+
+
+def edges_of(refs: DataFrame, kind: str, key: str, incoming: bool = False, count: int = 200) -> DataFrame:
+    """Outgoing or incoming references of one resource, the first ``count``."""
+    a, b = ("target_type", "target_id") if incoming else tuple(KEY)
+    found = refs.where((F.col(a) == kind) & (F.col(b) == key))
+    return found.orderBy("parameter_name", *KEY, "target_type", "target_id").limit(count)
+
+
+# The type that a chain without a type is taken to mean, by the name of the reference.
+CHAIN_TARGETS = {"subject": "Patient", "patient": "Patient", "performer": "Organization", "organization": "Organization", "context": "Encounter", "encounter": "Encounter", "address": "Location", "location": "Location", "partof": "Location", "medication": "Medication"}
+
+
+def chain_target(parameter: str, kind: str | None = None) -> str:
+    """The target type of a chain: as stated, else by the name of the reference."""
+    if kind:
+        return kind
+    if parameter not in CHAIN_TARGETS:
+        raise ValueError(f"the target of {parameter} is not known; state its type")
+    return CHAIN_TARGETS[parameter]
+
+
 def matching(base: DataFrame, predicates: dict[str, DataFrame], condition: str) -> DataFrame:
     """Resources for which a formula over named predicates holds, e.g. ``a AND (b OR NOT c)``.
 
@@ -232,6 +354,12 @@ def member_of(edges: DataFrame, collection: str, key: str, at: Column) -> DataFr
     return rows.select(F.col("member_type").alias("resource_type"), F.col("member_id").alias("resource_id")).distinct()
 
 
+def on_list(edges: DataFrame, key: str) -> DataFrame:
+    """``_list``: members of a List, whatever their period."""
+    rows = edges.where((F.col("collection_type") == "List") & (F.col("collection_id") == key))
+    return rows.select(F.col("member_type").alias("resource_type"), F.col("member_id").alias("resource_id")).distinct()
+
+
 def dangling(refs: DataFrame, existing: DataFrame) -> DataFrame:
     """Referential integrity: reference rows whose target does not exist."""
     have = existing.select(F.col("resource_type").alias("target_type"), F.col("resource_id").alias("target_id")).distinct()
@@ -252,9 +380,33 @@ def sorted_page(base: DataFrame, key: DataFrame, descending: bool, count: int) -
     return base.join(key, KEY, "left").orderBy(k.desc_nulls_last() if descending else k.asc_nulls_last(), "resource_id").limit(count)
 
 
-def keyset_page(rows: DataFrame, cursor: tuple[Column, Column] | None, count: int, when: str = "last_updated", key: str = "id") -> DataFrame:
-    """The page after a cursor in the default order, newest first."""
+def keyset_page(rows: DataFrame, cursor: tuple[Column, Column] | None, count: int, when: str = "last_updated", key: str = "id", back: bool = False) -> DataFrame:
+    """The page after (or, ``back``, before) a cursor in the default order, newest first; the last page is ``back`` without a cursor."""
     if cursor is not None:
         at, last = cursor
-        rows = rows.where((F.col(when) < at) | ((F.col(when) == at) & (F.col(key) < last)))
+        w, k = F.col(when), F.col(key)
+        rows = rows.where((w > at) | ((w == at) & (k > last)) if back else (w < at) | ((w == at) & (k < last)))
+    if back:
+        return rows.orderBy(F.asc(when), F.asc(key)).limit(count).orderBy(F.desc(when), F.desc(key))
     return rows.orderBy(F.desc(when), F.desc(key)).limit(count)
+
+
+def sorted_by(base: DataFrame, sort_keys: list[tuple[DataFrame, bool]], count: int) -> DataFrame:
+    """``_sort`` by several keys, each (its least or greatest values by resource, descending); nulls last, ties by id."""
+    order = []
+    for i, (key, descending) in enumerate(sort_keys):
+        base = base.join(key.select(*KEY, F.col("sort_key").alias(f"sort_{i}")), KEY, "left")
+        order.append(F.col(f"sort_{i}").desc_nulls_last() if descending else F.col(f"sort_{i}").asc_nulls_last())
+    return base.orderBy(*order, "resource_id").limit(count)
+
+
+# What one request may ask for.
+LIMITS = {"count": 1000, "total": 10_000, "iterate": 3, "includes": 10}
+
+
+def checked(**asked: int) -> dict[str, int]:
+    """Limits guard: raises for more than ``LIMITS`` or less than nothing."""
+    for name, n in asked.items():
+        if not 0 <= n <= LIMITS[name]:
+            raise ValueError(f"{name} is {n}; 0 to {LIMITS[name]} are allowed")
+    return asked

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +55,78 @@ def by_canonical(docs: DataFrame, url: str, version: str | None = None) -> DataF
         v = F.col("version")
         out = out.where((v == version) | v.startswith(version + ".") | v.startswith(version + "-"))
     return out
+
+
+def conditional_references(rows: DataFrame, column: str, documents: DataFrame) -> DataFrame:
+    """``Type?identifier=system|value`` in a column becomes ``Type/id`` where just one document matches; else it stays, with an outcome.
+
+    ``documents``: resource_type, system, code, resource_id. Matches are counted by key before the join.
+    """
+    p = r"^([A-Za-z]+)\?identifier=([^|]*)\|(.*)$"
+    asked = rows.withColumns({f"_{k}": F.regexp_extract(column, p, i) for i, k in enumerate(("type", "system", "code"), 1)})
+    n = documents.groupBy(F.col("resource_type").alias("_type"), F.col("system").alias("_system"), F.col("code").alias("_code")).agg(F.countDistinct("resource_id").alias("_n"), F.min("resource_id").alias("_id"))
+    j = asked.join(n, ["_type", "_system", "_code"], "left")
+    outcome = F.when(F.col("_type") == "", "literal").when(F.col("_n").isNull(), "none").when(F.col("_n") == 1, "resolved").otherwise("several")
+    return j.withColumn("outcome", outcome).withColumn(column, F.when(F.col("outcome") == "resolved", F.concat_ws("/", "_type", "_id")).otherwise(F.col(column))).drop("_type", "_system", "_code", "_n", "_id")
+
+
+def _patched(document: str, steps: list[dict]) -> str | None:
+    """A JSON document after add, remove, replace, move, copy and test steps at JSON pointers; None if a step fails."""
+    doc = {"": json.loads(document)}
+
+    def walk(pointer: str):
+        keys = [""] + [x.replace("~1", "/").replace("~0", "~") for x in pointer.split("/")[1:]]
+        at = doc
+        for k in keys[:-1]:
+            at = at[int(k)] if isinstance(at, list) else at[k]
+        return at, len(at) if isinstance(at, list) and keys[-1] == "-" else int(keys[-1]) if isinstance(at, list) else keys[-1]
+
+    def put(pointer: str, value) -> None:
+        at, k = walk(pointer)
+        if isinstance(at, list):
+            if not 0 <= k <= len(at):
+                raise IndexError(pointer)
+            at.insert(k, value)
+        else:
+            at[k] = value
+
+    try:
+        for step in steps:
+            op, value = step["op"], step.get("value")
+            if op in ("move", "copy"):
+                at, k = walk(step["from"])
+                value = at.pop(k) if op == "move" else json.loads(json.dumps(at[k]))
+            at, k = walk(step["path"])
+            if op in ("add", "move", "copy"):
+                put(step["path"], value)
+            elif op == "test":
+                if at[k] != value:
+                    return None
+            elif op == "replace":
+                at[k]  # has to be there
+                at[k] = value
+            else:
+                del at[k]
+    except (KeyError, IndexError, ValueError, TypeError):
+        return None
+    return json.dumps(doc[""], separators=(",", ":"), ensure_ascii=False)
+
+
+def json_patch(docs: DataFrame, patch: list[dict], column: str = "resource") -> DataFrame:
+    """``docs`` with JSON Patch steps applied to each document; null where a step fails, as nothing of a patch applies then."""
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else _patched(t, patch))
+
+    return docs.withColumn(column, F.pandas_udf(run, "string")(F.col(column)))
+
+
+def install(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """Outcomes of loading a package: created, updated or unchanged documents of each type. Both: resource_type, id, resource."""
+    j = documents.join(known.withColumnRenamed("resource", "_known"), ["resource_type", "id"], "left")
+    outcome = F.when(F.col("_known").isNull(), "created").when(F.col("_known") == F.col("resource"), "unchanged").otherwise("updated")
+    return j.groupBy("resource_type", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def toggled(parameters: DataFrame, url: str, active: bool) -> DataFrame:
+    """A parameter switched on or off."""
+    return parameters.withColumn("active", F.when(F.col("url") == url, F.lit(active)).otherwise(F.col("active")))

@@ -15,7 +15,7 @@ CODE = ["system", "code"]
 
 
 def included(concepts: DataFrame, tree: DataFrame, rule: dict) -> DataFrame:
-    """The concepts of one rule: {system, codes?, is_a?, descendent_of?, where?}."""
+    """The concepts of one rule: {system, codes?, is_a?, descendent_of?, property?: {name: values}, where?}."""
     c = concepts.where(F.col("system") == rule["system"])
     if "codes" in rule:
         c = c.where(F.col("code").isin(rule["codes"]))
@@ -23,9 +23,25 @@ def included(concepts: DataFrame, tree: DataFrame, rule: dict) -> DataFrame:
         if op in rule:
             under = tree.where((F.col("ancestor") == rule[op]) & (F.col("distance") >= least)).select(F.col("descendant").alias("code"))
             c = c.join(under, "code", "left_semi")
+    for name, values in rule.get("property", {}).items():
+        c = c.where(_has_property(name, values))
     return c.where(rule["where"]) if "where" in rule else c
 
 
+def _has_property(name: str, values: list[str]):
+    return F.exists("properties", lambda p: (p["code"] == name) & p["value"].isin(*values))
+
+
+def composed(sets: dict[str, list[dict]], name: str, seen: tuple[str, ...] = ()) -> list[dict]:
+    """The rules of a value set with those of the sets that it includes; a set that includes itself adds nothing."""
+    if name in seen:
+        return []
+    out = []
+    for rule in sets[name]:
+        out += composed(sets, rule["value_set"], (*seen, name)) if "value_set" in rule else [rule]
+    return out
+
+
 def expand(concepts: DataFrame, tree: DataFrame, include: list[dict], exclude: list[dict] = (), active_only: bool = False, text: str = "", offset: int = 0, count: int | None = None) -> DataFrame:
     """A value set's concepts, ordered by system and code."""
     out = reduce(DataFrame.unionByName, [included(concepts, tree, r) for r in include]).dropDuplicates(CODE)
@@ -46,6 +62,19 @@ def lookup(concepts: DataFrame, properties: DataFrame, system: str, code: str) -
     return concepts.where((F.col("system") == system) & (F.col("code") == code)).join(properties, CODE, "left")
 
 
+def lookup_all(concepts: DataFrame, properties: DataFrame, designations: DataFrame, system: str, code: str) -> DataFrame:
+    """A concept with its properties and designations, a row for each: kind, name, value."""
+    one = concepts.where((F.col("system") == system) & (F.col("code") == code)).select(*CODE, "display")
+    p = one.join(properties, CODE).select(*CODE, "display", F.lit("property").alias("kind"), F.col("property").alias("name"), "value")
+    d = one.join(designations, CODE).select(*CODE, "display", F.lit("designation").alias("kind"), F.col("language").alias("name"), "value")
+    return p.unionByName(d)
+
+
+def summary(concepts: DataFrame) -> DataFrame:
+    """Concepts of each system: all and active ones."""
+    return concepts.groupBy("system").agg(F.count(F.lit(1)).alias("concepts"), F.count_if("active").alias("active"))
+
+
 def validate(codes: DataFrame, expansion: DataFrame) -> DataFrame:
     """``codes`` with ``valid``: the expansion holds the code."""
     have = expansion.select(*CODE).distinct().withColumn("valid", F.lit(True))

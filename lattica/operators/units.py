@@ -39,3 +39,15 @@ def comparable_with(rows: DataFrame, value: float, unit: str, op: str = ">=") ->
     b = F.col("base_value")
     test = {">=": b >= base, ">": b > base, "<=": b <= base, "<": b < base, "=": b == base}[op]
     return normalized(rows).where((F.col("dimension") == dimension) & test)
+
+
+def equivalent(a: str, b: str) -> bool:
+    """Do two units have one dimension, and neither an offset?"""
+    known = {u: (d, o) for u, d, _, o in UNITS}
+    return a in known and b in known and known[a][0] == known[b][0] and not known[a][1] and not known[b][1]
+
+
+def convertible(rows: DataFrame, to: str, unit: str = "unit") -> DataFrame:
+    """``rows`` with ``convertible``: the unit has the dimension of ``to``."""
+    dimension = next(d for u, d, _, _ in UNITS if u == to)
+    return normalized(rows.withColumn("_one", F.lit(1.0)), "_one", unit).withColumn("convertible", F.coalesce(F.col("dimension") == dimension, F.lit(False))).drop("_one", "dimension", "base_value")

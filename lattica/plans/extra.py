@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.functions import temporal
-from lattica.operators import extract, hierarchy, search, shape
+from lattica.operators import extract, hierarchy, history, reports, search, shape
 from lattica.plans.queries import query
 from lattica.sources import tables as T
 
@@ -74,9 +74,9 @@ def searchset_entries(spark, d):
 
 
 @query("""SELECT p_partkey AS request_id, CASE n WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'conflict' END AS action, CASE WHEN n = 1 THEN t END AS target
-FROM (SELECT p_partkey, count(c_custkey) AS n, min('c-' || c_custkey) AS t FROM part LEFT JOIN customer ON p_size = 1 + c_custkey // 4 % 60 AND c_custkey < 160 AND c_custkey % 4 < p_size % 4 GROUP BY 1)""")
+FROM (SELECT p_partkey, count(c_custkey) AS n, min('c-' || c_custkey) AS t FROM part LEFT JOIN customer ON p_size = 1 + c_custkey // 4 % 60 AND c_custkey % 4 < p_size % 4 GROUP BY 1)""")
 def conditional_writes(spark, d):
-    c = T.table(spark, d, "customer").where("c_custkey < 160").withColumn("p_size", 1 + F.floor(F.col("c_custkey") / 4) % 60)
+    c = T.table(spark, d, "customer").withColumn("p_size", 1 + F.floor(F.col("c_custkey") / 4) % 60)
     found = c.where("c_custkey % 4 < p_size % 4").select("p_size", T.rid("c", "c_custkey").alias("resource_id"))
     return shape.conditional_on(T.table(spark, d, "part").select(F.col("p_partkey").alias("request_id"), "p_size"), found, "p_size").select("request_id", "action", "target")
 
@@ -128,13 +128,14 @@ def fp_children(spark, d):
 
 @query("SELECT count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'purchase') AS done, count(*) FILTER (WHERE event_type NOT IN ('error', 'purchase')) AS waiting, round(avg(value), 6) AS mean FROM events")
 def queue_stats(spark, d):
-    kind = F.col("event_type")
-    return T.table(spark, d, "events").agg(F.count_if(kind == "error").alias("failed"), F.count_if(kind == "purchase").alias("done"), F.count_if(~kind.isin("error", "purchase")).alias("waiting"), F.round(F.avg("value"), 6).alias("mean"))
+    e = T.table(spark, d, "events")
+    known = {r.event_type for r in e.select("event_type").distinct().collect()}
+    return reports.queue_stats(e, "event_type", {"failed": ["error"], "done": ["purchase"], "waiting": sorted(known - {"error", "purchase"})}, "value")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') AND p_brand = 'Brand#2' ORDER BY p_partkey LIMIT 10 OFFSET 5")
 def catalogue_page(spark, d):
-    return T.table(spark, d, "part").where(F.lower("p_name").contains("ring") & (F.col("p_brand") == "Brand#2")).orderBy("p_partkey").offset(5).limit(10).select("p_partkey", "p_name")
+    return reports.listing(T.table(spark, d, "part"), ["p_partkey"], {"p_brand": "Brand#2"}, "ring", ["p_name"], 5, 10).select("p_partkey", "p_name")
 
 
 @query("SELECT DISTINCT 'd' AS kind, l_orderkey FROM lineitem WHERE l_partkey = 7")
@@ -143,17 +144,16 @@ def referencing_scan(spark, d):
     return rows.select(F.lit("d").alias("kind"), F.split("resource_id", "-")[1].cast("long").alias("l_orderkey")).distinct()
 
 
-@query("SELECT 'o-' || o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey % 100 = 7")
+@query("SELECT 'o-' || o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def batch_read(spark, d):
-    wanted = T.table(spark, d, "orders").where("o_orderkey % 100 = 7").select(F.lit("Encounter").alias("resource_type"), T.rid("o", "o_orderkey").alias("id"))
+    wanted = T.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.lit("Encounter").alias("resource_type"), T.rid("o", "l_orderkey").alias("id"))
     rows = T.encounters(spark, d).where("is_current").join(wanted, ["resource_type", "id"], "left_semi")
     return rows.select("id", "status")
 
 
 @query("SELECT c_nationkey, count(*) AS n, count(o.o_custkey) AS with_orders FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON c_custkey = o_custkey GROUP BY 1")
 def counts_by_group(spark, d):
-    seen = T.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.lit(1).alias("seen")).distinct()
-    return T.table(spark, d, "customer").join(seen, "c_custkey", "left").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.count("seen").alias("with_orders"))
+    return reports.counts_with(T.table(spark, d, "customer"), T.table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "c_nationkey", "with_orders")
 
 
 @query("SELECT url FROM pages WHERE url = 'https://a.example.org/x/y' OR starts_with('https://a.example.org/x/y', regexp_replace(url, '/+$', '') || '/') OR contains(lower(regexp_replace(url, '/+$', '')), 'utm_source')")
@@ -176,4 +176,4 @@ def reference_member(spark, d):
 
 @query("SELECT 'Encounter' AS resource_type, 'o-' || o_orderkey AS id, 1 AS least FROM orders WHERE o_orderkey % 17 = 0")
 def deleted_documents(spark, d):
-    return T.encounters(spark, d).where("is_current AND deleted").select("resource_type", "id", F.lit(1).alias("least"))
+    return history.deleted(T.encounters(spark, d)).select("resource_type", "id", F.lit(1).alias("least"))

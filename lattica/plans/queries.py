@@ -43,8 +43,6 @@ for _name, _values, _modifier, _sql in [
 for _name, _values, _modifier, _sql in [
     ("search_token_code", ["building", "MACHINERY"], "", "lower(c_mktsegment) IN ('building', 'machinery')"),
     ("search_token_system_code", ["urn:segment|Furniture"], "", "lower(c_mktsegment) = 'furniture'"),
-    ("search_token_system_only", ["urn:segment|"], "", "true"),
-    ("search_token_no_system", ["|BUILDING"], "", "false"),
     ("search_token_above", ["ma"], "above", "lower(c_mktsegment) LIKE 'ma%'"),
     ("search_token_text", ["house"], "text", "lower(c_mktsegment) LIKE 'house%'"),
 ]:
@@ -52,16 +50,27 @@ for _name, _values, _modifier, _sql in [
         lambda spark, d, v=_values, m=_modifier: _ids(search.keys(search.rows_of(T.token_index(spark, d), "Patient", "segment"), search.token_is(v, m))))
 
 
+@query("SELECT 'doc-' || doc_id AS resource_id FROM documents WHERE doc_id % 7 = 0")
+def search_token_system_only(spark, d):
+    return _ids(search.keys(T.metadata_index(spark, d), search.token_is(["urn:label|"])))
+
+
+@query("SELECT 'c-' || c_custkey AS resource_id FROM customer WHERE c_acctbal >= 0")
+def search_token_no_system(spark, d):
+    return _ids(search.keys(search.rows_of(T.token_index(spark, d), "Patient", "active"), search.token_is(["|TRUE"])))
+
+
 @query("SELECT 'c-' || c_custkey AS resource_id FROM customer WHERE lower(c_mktsegment) <> 'building'")
 def search_token_not(spark, d):
     ix = search.rows_of(T.token_index(spark, d), "Patient", "segment")
-    return _ids(search.without(ix.select(*T.KEY).distinct(), search.keys(ix, search.token_is(["building"]))))
+    return _ids(search.without(ix.select(*T.KEY).distinct(), search.hits(ix, search.token_is(["building"]))))
 
 
-@query("SELECT 'c-' || c_custkey AS resource_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'c-' || c_custkey AS resource_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def search_missing(spark, d):
     everyone = T.string_index(spark, d).where("resource_type = 'Patient'").select(*T.KEY).distinct()
-    seen = search.rows_of(T.reference_index(spark, d), "Encounter", "subject").select(F.lit("Patient").alias("resource_type"), F.col("target_id").alias("resource_id")).distinct()
+    open_ones = search.hits(search.rows_of(T.token_index(spark, d), "Encounter", "status"), search.token_is(["p"]))
+    seen = search.only(search.rows_of(T.reference_index(spark, d), "Encounter", "subject"), open_ones).select(F.lit("Patient").alias("resource_type"), F.col("target_id").alias("resource_id")).distinct()
     return _ids(search.without(everyone, seen))
 
 
@@ -71,9 +80,9 @@ for _p, _sql in {
         lambda spark, d, p=_p: _ids(search.keys(search.rows_of(T.number_index(spark, d), "Medication", "size"), search.number_is(p, "20"))))
 
 
-@query("SELECT 'e-' || event_id AS resource_id FROM events WHERE event_type = 'purchase' AND value >= 12.25 AND value < 12.35")
+@query("SELECT 'e-' || event_id AS resource_id FROM events WHERE event_type = 'purchase' AND value >= 11.5 AND value < 12.5")
 def search_quantity_unit(spark, d):
-    return _ids(search.keys(T.quantity_index(spark, d), search.quantity_is("eq", "12.3|http://unitsofmeasure.org|mg")))
+    return _ids(search.keys(T.quantity_index(spark, d), search.quantity_is("eq", "12|http://unitsofmeasure.org|mg")))
 
 
 @query("SELECT 'e-' || event_id AS resource_id FROM events WHERE event_type <> 'purchase' AND value >= 50.5")
@@ -93,9 +102,12 @@ def search_reference(spark, d):
     return _ids(search.keys(search.rows_of(T.reference_index(spark, d), "Encounter", "subject"), search.reference_is(["Patient/c-3", "c-7"])))
 
 
-@query("SELECT url FROM pages WHERE regexp_replace(url, '/+$', '') = 'https://ththly.example.net/de' OR starts_with(regexp_replace(url, '/+$', ''), 'https://ththly.example.net/de/')")
+@query("SELECT url FROM pages WHERE starts_with(url || '/', (SELECT regexp_extract(min(url), '^https?://[^/]+') FROM pages) || '/')")
 def search_uri_below(spark, d):
-    return T.table(spark, d, "pages").where(search.uri_is(["https://ththly.example.net/de/"], "below", "url")).select("url")
+    """Pages of the site that comes first."""
+    pages = T.table(spark, d, "pages")
+    site = pages.agg(F.regexp_extract(F.min("url"), "^https?://[^/]+", 0)).first()[0]
+    return pages.where(search.uri_is([site + "/"], "below", "url")).select("url")
 
 
 @query("SELECT 'doc-' || doc_id AS resource_id FROM (SELECT doc_id, ' ' || array_to_string(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), ' ') || ' ' AS t FROM documents) WHERE contains(t, ' the ') AND contains(t, ' of ') AND NOT contains(t, ' stupid ') AND contains(t, ' in the ')")
@@ -130,14 +142,14 @@ def filter_and_or_not(spark, d):
 
 @query("SELECT 'o-' || o_orderkey AS resource_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) LIKE 'customer00000002%'")
 def chain_patient_name(spark, d):
-    found = search.keys(search.rows_of(T.string_index(spark, d), "Patient", "name"), search.string_is(["Customer#00000002"]))
+    found = search.hits(search.rows_of(T.string_index(spark, d), "Patient", "name"), search.string_is(["Customer#00000002"]))
     return _ids(search.chained(T.reference_index(spark, d), "Encounter", "subject", "Patient", found))
 
 
 @query("SELECT DISTINCT 'c-' || o_custkey AS resource_id FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
 def has_reverse_chain(spark, d):
     tokens = T.token_index(spark, d)
-    found = search.only(search.keys(search.rows_of(tokens, "Encounter", "status"), search.token_is(["p"])), search.keys(search.rows_of(tokens, "Encounter", "priority"), search.token_is(["1-urgent"])))
+    found = search.only(search.hits(search.rows_of(tokens, "Encounter", "status"), search.token_is(["p"])), search.hits(search.rows_of(tokens, "Encounter", "priority"), search.token_is(["1-urgent"])))
     return _ids(search.referred_by(T.reference_index(spark, d), "Encounter", "subject", "Patient", found))
 
 
@@ -150,9 +162,11 @@ def include_forward(spark, d):
     return _ids(search.include(T.reference_index(spark, d), _urgent(spark, d), "Encounter", "subject"))
 
 
-@query("SELECT DISTINCT 'o-' || o_orderkey AS resource_id FROM orders WHERE o_custkey < 40")
+@query("SELECT 'o-' || o_orderkey AS resource_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, 'c-' || c_custkey LIMIT 50)")
 def revinclude(spark, d):
-    page = T.table(spark, d, "customer").where("c_custkey < 40").select(F.lit("Patient").alias("resource_type"), T.rid("c", "c_custkey").alias("resource_id"))
+    """For a page of fifty."""
+    base = search.rows_of(T.string_index(spark, d), "Patient", "name").select(*T.KEY)
+    page = search.sorted_page(base, search.sort_key(T.number_index(spark, d), "Patient", "balance", "value"), True, 50)
     return _ids(search.revinclude(T.reference_index(spark, d), page, "Encounter", "subject"))
 
 
@@ -262,7 +276,7 @@ def index_loss(spark, d):
     return _ids(reports.missing_from_index(o, o.where("o_orderkey % 7 <> 0")))
 
 
-@query("SELECT 'Encounter' AS resource_type, 'priority,status' AS parameters UNION ALL SELECT 'Medication', 'brand,type' UNION ALL SELECT 'Observation', 'code' UNION ALL SELECT 'Patient', 'segment'")
+@query("SELECT 'Encounter' AS resource_type, 'priority,status' AS parameters UNION ALL SELECT 'Medication', 'brand,type' UNION ALL SELECT 'Observation', 'code' UNION ALL SELECT 'Patient', 'active,segment'")
 def parameter_catalogue(spark, d):
     return reports.catalogue(T.token_index(spark, d))
 
@@ -446,5 +460,5 @@ def document_paths(spark, d):
 
 @query("SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
 def bundle_of_entries(spark, d):
-    c = T.table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("e"))
-    return c.select("conv_id", "turns", F.array_join(F.transform("e", lambda x: x["role"]), ">").alias("roles"))
+    c = T.table(spark, d, "conversations")
+    return reports.bundle_detail(c.select("conv_id").distinct(), c, "conv_id", "turn", "role").select("conv_id", F.col("entries").alias("turns"), F.array_join("role", ">").alias("roles"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["resource_type", "resource_id"]
+#: Numbers of indexes: exact decimals.
+NUMBER = "decimal(28,9)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,13 +49,16 @@ def string_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_index(spark: SparkSession, d: str) -> DataFrame:
-    """system, code, code_ci of coded parameters."""
-    return _union([
-        _rows(table(spark, d, t), kind, rid(p, k), name, system=F.lit("urn:" + s), code=F.col(v), code_ci=F.lower(v))
+    """system, code, code_ci, display of coded parameters."""
+    coded = [
+        _rows(table(spark, d, t), kind, rid(p, k), name, system=F.lit("urn:" + s), code=F.col(v), code_ci=F.lower(v), display=F.initcap(v))
         for t, kind, p, k, name, s, v in [
             ("customer", "Patient", "c", "c_custkey", "segment", "segment", "c_mktsegment"), ("orders", "Encounter", "o", "o_orderkey", "status", "status", "o_orderstatus"),
             ("orders", "Encounter", "o", "o_orderkey", "priority", "priority", "o_orderpriority"), ("part", "Medication", "p", "p_partkey", "brand", "brand", "p_brand"),
-            ("part", "Medication", "p", "p_partkey", "type", "type", "p_type"), ("events", "Observation", "e", "event_id", "code", "event", "event_type")]])
+            ("part", "Medication", "p", "p_partkey", "type", "type", "p_type"), ("events", "Observation", "e", "event_id", "code", "event", "event_type")]]
+    active = (F.col("c_acctbal") >= 0).cast("string")
+    coded.append(_rows(table(spark, d, "customer"), "Patient", rid("c", "c_custkey"), "active", system=F.lit(None).cast("string"), code=active, code_ci=active, display=F.lit(None).cast("string")))
+    return _union(coded)
 
 
 def date_index(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +72,7 @@ def date_index(spark: SparkSession, d: str) -> DataFrame:
 
 def number_index(spark: SparkSession, d: str) -> DataFrame:
     return _union([
-        _rows(table(spark, d, t), kind, rid(p, k), name, value=F.col(v).cast("double"))
+        _rows(table(spark, d, t), kind, rid(p, k), name, value=F.col(v).cast(NUMBER))
         for t, kind, p, k, name, v in [("customer", "Patient", "c", "c_custkey", "balance", "c_acctbal"), ("part", "Medication", "p", "p_partkey", "size", "p_size"), ("orders", "Encounter", "o", "o_orderkey", "total", "o_totalprice")]])
 
 
@@ -75,7 +80,7 @@ def quantity_index(spark: SparkSession, d: str) -> DataFrame:
     """value, system, code, unit. Values are in mg for purchases, in g for other events."""
     e = table(spark, d, "events")
     unit = F.when(F.col("event_type") == "purchase", "mg").otherwise("g")
-    return _rows(e, "Observation", rid("e", "event_id"), "value-quantity", value=F.col("value"), system=F.lit("http://unitsofmeasure.org"), code=unit, unit=unit)
+    return _rows(e, "Observation", rid("e", "event_id"), "value-quantity", value=F.col("value").cast(NUMBER), system=F.lit("http://unitsofmeasure.org"), code=unit, unit=unit)
 
 
 def reference_index(spark: SparkSession, d: str) -> DataFrame:
@@ -145,3 +150,50 @@ def documents_from_xml(spark: SparkSession, path: str, row_tag: str) -> DataFram
     """Documents of XML files as JSON text."""
     df = spark.read.option("rowTag", row_tag).xml(path)
     return df.select(F.to_json(F.struct("*")).alias("resource"))
+
+
+def identifier_index(spark: SparkSession, d: str) -> DataFrame:
+    """system, value, value_ci and the type's system and code of identifiers; code, code_ci for token predicates."""
+    c = table(spark, d, "customer")
+    value = F.lpad(F.col("c_custkey").cast("string"), 8, "0")
+    return _rows(c, "Patient", rid("c", "c_custkey"), "identifier", system=F.lit("urn:mrn"), code=value, code_ci=F.lower(value), value=value, value_ci=F.lower(value), type_system=F.lit("urn:identifier-type"), type_code=F.lit("MR"), type_code_ci=F.lit("mr"))
+
+
+def reference_identifier_index(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers by which encounters name their subject."""
+    value = F.lpad(F.col("o_custkey").cast("string"), 8, "0")
+    return _rows(table(spark, d, "orders"), "Encounter", rid("o", "o_orderkey"), "subject", system=F.lit("urn:mrn"), code=value, code_ci=F.lower(value))
+
+
+def literal_index(spark: SparkSession, d: str) -> DataFrame:
+    """References of every shape as edge columns: relative with a version, absolute, canonical with a version, fragment."""
+    k = F.col("p_partkey") % 4
+    size = F.col("p_size").cast("string")
+    pick = lambda *v: F.when(k == 0, v[0]).when(k == 1, v[1]).when(k == 2, v[2]).otherwise(v[3])
+    none = F.lit(None).cast("string")
+    return _rows(
+        table(spark, d, "part"), "Medication", rid("p", "p_partkey"), "derived", reference_kind=pick(*map(F.lit, ("relative", "absolute", "canonical", "fragment"))),
+        target_type=pick(F.lit("Substance"), F.lit("Substance"), none, none), target_id=pick(size, size, none, F.concat(F.lit("c"), size)), target_version_id=pick(F.lit("2"), none, none, none),
+        target_url=pick(none, F.concat(F.lit("https://h.org/r4/Substance/"), size), none, none), canonical_url=pick(none, none, F.lit("http://h.org/KnowledgeBase"), none),
+        canonical_version=pick(none, none, F.concat_ws(".", F.lit("1"), size), none))
+
+
+def metadata_index(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens, references and uris that every document may carry: _language, _source, _tag, _security, _profile."""
+    docs = table(spark, d, "documents")
+    key = rid("doc", "doc_id")
+    none = F.lit(None).cast("string")
+
+    def one(parameter, system=none, code=none, value=none, where=None):
+        return _rows(docs if where is None else docs.where(where), "DocumentReference", key, parameter, system=system, code=code, code_ci=F.lower(code), value=value)
+
+    return _union([
+        one("_language", F.lit("urn:ietf:bcp:47"), F.col("lang")), one("_source", value=F.concat(F.lit("https://"), F.col("source"), F.lit("/feed"))),
+        one("_tag", F.lit("urn:tag"), F.when(F.col("n_chars") > 1000, "long").otherwise("short")), one("_security", F.lit("urn:label"), F.lit("R"), where="doc_id % 7 = 0"),
+        one("_profile", value=F.lit("http://h.org/profiles/note"), where="doc_id % 2 = 0")])
+
+
+def documents_to_xml(docs: DataFrame, schema: str, row_tag: str, column: str = "resource") -> DataFrame:
+    """JSON text documents as XML text, one element of ``row_tag`` each."""
+    x = F.to_xml(F.from_json(column, schema), {"rowTag": row_tag})
+    return docs.withColumn("xml", F.regexp_replace(F.regexp_replace(x, r"^<\?xml[^>]*>\s*", ""), r">\s+<", "><"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import lattica.plans.extra  # noqa: F401
+import lattica.plans.more  # noqa: F401
 from lattica.functions import collections as C
 from lattica.functions import scalars as S
 from lattica.operators import extract, hierarchy, history, rules, search, shape
@@ -158,3 +159,53 @@ def test_documents_from_files(spark, tmp_path):
     assert '"id": "1"' in T.documents_from_directory(spark, str(tmp_path / "*.json")).first().resource
     (tmp_path / "b.xml").write_text("<all><Patient><id>7</id></Patient></all>")
     assert T.documents_from_xml(spark, str(tmp_path / "b.xml"), "Patient").first().resource == '{"id":7}'
+
+
+def test_escapes_are_read_once(spark):
+    for text in ("a\\n", "\\\\n\n", 'q"\\', "", "&lt;&amp;lt;", "a&b<c>'"):
+        for kind in ("json", "html"):
+            assert value(spark, S.unescape(S.escape(F.lit(text), kind), kind)) == text
+    assert value(spark, S.unescape(F.lit("\\\\n"), "json")) == "\\n"
+
+
+def test_offsets_and_substrings_are_both_bytes(spark):
+    x = F.lit("éab")
+    assert value(spark, S.substring(x, 2)) == "ab" and value(spark, S.substring(x, 3, 1)) == "b" and value(spark, S.substring(x, 1, 1)) is None
+    with pytest.raises(ValueError):
+        S.substring(x, 0, -1)
+
+
+def test_datetimes_and_times(spark):
+    got = [str(value(spark, S.to_datetime(F.lit(x)))) for x in ("2020", "2020-02-03T04:05:06+01:00", "2020-02-03T04:05Z", "2020-13", "x")]
+    assert got == ["2020-01-01 00:00:00", "2020-02-03 03:05:06", "2020-02-03 04:05:00", "None", "None"]
+    assert value(spark, S.to_time(F.lit("T25:00"))) is None and value(spark, S.time_precision(F.lit("10:30:00.5"))) == 9
+    assert value(spark, S.compare(F.lit("2020"), F.lit("2020-01"))) is None and value(spark, S.compare(F.lit(2), F.lit(1))) == 1
+
+
+def test_json_patch_is_all_or_nothing(spark):
+    docs = spark.createDataFrame([('{"a":[1,2],"b":{"c":1}}',), ('{"a":[]}',), (None,)], "resource string")
+    steps = [{"op": "move", "from": "/a/0", "path": "/b/d~1e"}, {"op": "add", "path": "/a/-", "value": 3}, {"op": "copy", "from": "/b", "path": "/e"}]
+    assert [r.resource for r in shape.json_patch(docs, steps).collect()] == ['{"a":[2,3],"b":{"c":1,"d/e":1},"e":{"c":1,"d/e":1}}', None, None]
+
+
+def test_limits_guard():
+    assert search.checked(count=20) == {"count": 20}
+    for asked in ({"count": 1001}, {"iterate": -1}):
+        with pytest.raises(ValueError):
+            search.checked(**asked)
+    with pytest.raises(ValueError):
+        search.chain_target("unknown")
+
+
+def test_canonical_versions_compare_as_numbers(spark):
+    rows = spark.createDataFrame([("u", "1.10"), ("u", "1.9.1"), ("u", "1.2"), ("u", "x"), ("v", "1.9")], "canonical_url string, canonical_version string")
+    assert [r.canonical_version for r in rows.where(search.canonical_is("u|1.9", "above")).collect()] == ["1.10", "1.9.1"]
+    assert [r.canonical_version for r in rows.where(search.canonical_is("u|1.9", "below")).collect()] == ["1.2"]
+
+
+def test_appended_versions_need_no_flags(spark):
+    v = spark.createDataFrame([("P", "1", 1, False, "x"), ("P", "1", 2, False, "y"), ("P", "2", 1, False, "z")], "resource_type string, id string, version_id int, deleted boolean, status string")
+    changes = spark.createDataFrame([("P", "1", True, None), ("P", "3", False, "n")], "resource_type string, id string, deleted boolean, status string")
+    new = history.appended(v, changes)
+    assert {(r.id, r.version_id) for r in new.collect()} == {("1", 3), ("3", 1)}
+    assert {(r.id, r.status) for r in history.newest(v.unionByName(new)).collect()} == {("2", "z"), ("3", "n")}

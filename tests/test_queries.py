@@ -1,6 +1,7 @@
 import pytest
 
 import lattica.plans.extra  # noqa: F401
+import lattica.plans.more  # noqa: F401
 from lattica.plans.queries import ORACLE_SQL, QUERIES
 from tests.oracle import compare
 
