@@ -5,8 +5,9 @@ Per path (tag names with their class) the page's text length, blocks, punctuatio
 aggregated. Two ratios per path, text length per block and punctuation per block, are smoothed over the
 order in which paths of the same tag names come on the page (as geometric means, so that a long neighbour
 does not carry a short path), fused by multiplication and compared with a share of the page's own mean. A
-block is content if its path passes and is not mostly links; if the page has an article, only blocks
-inside it can be, and the ratios decide there as well. Two rules go with that:
+block is content if its path passes and is not mostly links. The ratios decide on the whole page: where a page has
+an article, paths outside it count ``OUTSIDE`` of their ratio, so they need far more text than the article's.
+Two rules go with that:
 
 * Short paragraphs, items, cells and quotes without a class belong to the path of the element that holds
   them, and stay or go with that column, however short they are.
@@ -38,7 +39,7 @@ from lattica.llm.common import bound_batches
 
 # Element names by their part in a page.
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title select textarea option button datalist".split())
-BOILER = frozenset("nav header footer aside form menu dialog fieldset figcaption".split())
+BOILER = frozenset("nav header footer aside form menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr picture q ruby rp rt s samp small source span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(["article", "main"])
@@ -57,6 +58,8 @@ UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b
 MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Share of the page's mean that a path's fused ratio must reach.
 SHARE = 0.25
+#: Factor on the ratio of paths outside the article of a page that has one.
+OUTSIDE = 0.2
 #: Share of link text from which a path is a list of links.
 LINKED = 0.6
 
@@ -182,8 +185,7 @@ def _rank(b: Block) -> int:
 def content_blocks(blocks: list[Block]) -> list[Block]:
     """The blocks of the main text, by the ratios of their paths."""
     rest = [b for b in blocks if not b.dull]
-    if any(b.inside for b in rest):
-        rest = [b for b in rest if b.inside]
+    article = any(b.inside for b in rest)
     links: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for b in rest:
         links[b.path][0] += b.linked
@@ -191,7 +193,9 @@ def content_blocks(blocks: list[Block]) -> list[Block]:
     rest = [b for b in rest if links[b.path][0] < LINKED * links[b.path][1]]
     judged = [b for b in rest if not _rank(b)] or rest
     paths: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    within: dict[str, bool] = {}
     for b in judged:
+        within[_column(b.path)] = b.inside
         p = paths[_column(b.path)]
         p[0] += 1
         p[1] += len(b.text)
@@ -206,6 +210,7 @@ def content_blocks(blocks: list[Block]) -> list[Block]:
         length = _smooth([paths[k][1] / paths[k][0] for k in ks])
         marks = _smooth([1 + paths[k][2] / paths[k][0] for k in ks])
         fused.update({k: a * m for k, a, m in zip(ks, length, marks, strict=True)})
+    fused = {k: f if within[k] or not article else OUTSIDE * f for k, f in fused.items()}
     weight = sum(p[1] for p in paths.values())
     mean = sum(fused[k] * p[1] for k, p in paths.items()) / weight
     good = {k for k in paths if fused[k] >= SHARE * mean}
