@@ -10,7 +10,10 @@
    (domains x domains) matrix of the documents that can still move. A step needs only that matrix and
    the domain totals, one sum over partitions; a document's rate follows from its own posteriors and the
    list of past steps, so no table of rates is kept or rewritten.
-3. ``copies`` rounds the rate to whole repetitions by a hash of doc_id, right on average.
+3. ``copies`` rounds the rate, plus a small shift along the document's posteriors, to whole repetitions by a hash of
+   doc_id. Rounding is right on average only, and long documents weigh much; so the shift is fitted like the
+   rates, to the totals that the rounded copies deliver, until these no longer come closer to the targets.
+   ``shares`` states target, fitted and delivered shares.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+``. ``MAX_RATE`` bounds repetition; if targets cannot be met within
 it, the rates are the nearest that can.
@@ -29,14 +32,14 @@ from pyspark.sql import functions as F
 
 from lattica.llm import quality_classifier as qc
 from lattica.llm.bpe import HashTable
-from lattica.llm.common import U64, any_names, blocks, materialize, texts, utf8
+from lattica.llm.common import U64, any_names, blocks, discard, materialize, texts, utf8
 from lattica.llm.textstats import NAMES, block_stats, column_matrix, matrix_column, summed
 from lattica.llm.toxicity import block_votes, find_patterns
 
 DOMAINS = ["clean", "toxic", "junk"]
 #: Shares of all tokens that production asks for.
 TARGETS = {"clean": 0.95, "toxic": 0.04, "junk": 0.01}
-MAX_RATE, STEPS, CLOSE, RIDGE, SEED = 4.0, 12, 1e-5, 1e-3, 23
+MAX_RATE, CLOSE, RIDGE, SEED = 4.0, 1e-5, 1e-3, 23
 _D = len(NAMES) + 3
 
 
@@ -118,30 +121,55 @@ def _tokens(x: np.ndarray) -> np.ndarray:
     return np.rint(np.expm1(x[:, 0]))
 
 
-def fit_rates(stats: DataFrame, model: dict, targets: dict[str, float]) -> list[np.ndarray]:
-    """Steps of projected gradient that bring the expected domain totals to their shares of all tokens."""
-    k = len(DOMAINS)
+def copies_of(p: np.ndarray, steps: list[np.ndarray], shift: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Whole repetitions of documents with posteriors ``p`` and uniform shares."""
+    return np.floor(np.clip(rates(p, steps) + p @ shift, 0, MAX_RATE) + share).astype(np.int64)
+
+
+def _wanted(targets: dict[str, float]) -> np.ndarray:
     want = np.array([targets.get(d, 0.0) for d in DOMAINS])
-    want = want / want.sum()
+    return want / want.sum()
+
+
+def fit_rates(stats: DataFrame, model: dict, targets: dict[str, float]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Steps of projected gradient that bring the expected domain totals to their shares of all tokens, and the shift that brings the rounded ones there.
+
+    Both go on until the targets are met within ``CLOSE`` or a step no longer comes nearer; the best step stays.
+    """
+    k, want = len(DOMAINS), _wanted(targets)
     model = {x: y for x, y in model.items() if x != "stats"}
-    steps: list[np.ndarray] = []
-    for _ in range(STEPS):
-        def totals(b, steps=tuple(steps)):
+    rows = stats.select("stats", _share(F.col("doc_id")).alias("share"))
+
+    def measured(steps, shift):
+        """(preconditioner, distance of the totals from the targets), as shares of all tokens; nothing without tokens."""
+        def totals(b):
             x = column_matrix(b.column(0), _D)
             p, n = posteriors(model, x), _tokens(x)
             r = rates(p, steps)
             free = n * ((r > 0) & (r < MAX_RATE))
-            return np.c_[(p * free[:, None]).T @ p, p.T @ (n * r), p.T @ n]
+            given = r if shift is None else copies_of(p, steps, shift, b.column(1).to_numpy(zero_copy_only=False))
+            return np.c_[(p * free[:, None]).T @ p, p.T @ (n * given), p.T @ n]
 
-        s = summed(stats.select("stats"), totals, k + 2)
+        s = summed(rows, totals, k + 2)
         total = s[:, k + 1].sum() if len(s) else 0
-        if not total:
-            break
-        off = s[:, k] / total - want
-        if np.abs(off).max() < CLOSE:
-            break
-        steps.append(np.linalg.solve(s[:, :k] / total + RIDGE * np.eye(k), off))
-    return steps
+        return (s[:, :k] / total + RIDGE * np.eye(k), s[:, k] / total - want) if total else None
+
+    def fitted(at, step):
+        """The best of a series of steps, each from the distance that the one before left."""
+        best, least = at, np.inf
+        while (found := measured(*at)) is not None:
+            near = np.abs(found[1]).max()
+            if near >= least * 0.99:
+                break
+            best, least = at, near
+            if near < CLOSE:
+                break
+            at = step(at, np.linalg.solve(*found))
+        return best
+
+    steps = fitted(((), None), lambda at, g: ((*at[0], g), None))[0]
+    shift = fitted((steps, np.zeros(k)), lambda at, g: (at[0], at[1] - g))[1]
+    return list(steps), shift
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,16 +177,24 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     slim = texts(docs, id_col, text_col)
     model = fit_domains(slim, labels)
     stats = model.pop("stats")
-    steps = fit_rates(stats, model, targets)
+    steps, shift = fit_rates(stats, model, targets)
 
     def run(batches):
         for b in batches:
             x = column_matrix(b.column(1), _D)
             p = posteriors(model, x)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_tokens(x).astype(np.int64)), *[pa.array(c) for c in p.T], pa.array(rates(p, steps))], ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"])
+            copies = copies_of(p, steps, shift, b.column(2).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_tokens(x).astype(np.int64)), *[pa.array(c) for c in p.T], pa.array(rates(p, steps)), pa.array(copies)], ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies"])
+
+    return stats.select("doc_id", "stats", _share(F.col("doc_id")).alias("share")).mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double, copies long")
 
-    out = stats.mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double")
-    return out.withColumn("copies", F.floor(F.col("rate") + _share(F.col("doc_id"))).cast("long"))
+
+def shares(mixed: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """For each domain its target, and its share of all expected tokens by the fitted rates and by the copies delivered, of rows of ``mix``."""
+    want = dict(zip(DOMAINS, _wanted(targets).tolist(), strict=True))
+    total = {of: F.sum(F.col("n_tokens") * F.col(of)) for of in ("rate", "copies")}
+    one = [F.struct(F.lit(d).alias("domain"), F.lit(want[d]).alias("target"), *[F.try_divide(F.sum(F.col("n_tokens") * F.col(of) * F.col(f"p_{d}")), total[of]).alias(name) for of, name in (("rate", "fitted"), ("copies", "delivered"))]) for d in DOMAINS]
+    return mixed.agg(F.array(*one).alias("d")).select(F.explode("d").alias("d")).select("d.*")
 
 
 def _share(doc_id):
@@ -170,13 +206,15 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float
     """``docs`` with each row as often as its rate says; the same columns, and no shuffle of texts."""
     slim = texts(docs, id_col, text_col)
     model = fit_domains(slim, labels)
-    steps = fit_rates(model.pop("stats"), model, targets)
+    stats = model.pop("stats")
+    steps, shift = fit_rates(stats, model, targets)
+    discard(stats)
     names = docs.columns
 
     def run(batches):
         for b in batches:
             p = posteriors(model, _stats(*utf8(b.column(text_col)), model["patterns"]))
-            copies = np.floor(rates(p, steps) + b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)).astype(np.int64)
+            copies = copies_of(p, steps, shift, b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
             yield b.select(names).take(pa.array(np.repeat(np.arange(b.num_rows), copies)))
 
     return docs.withColumn("_lattica_share", _share(F.col(id_col))).mapInArrow(run, docs.schema)
