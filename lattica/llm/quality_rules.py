@@ -13,8 +13,7 @@ Nothing is shuffled: a row is measured where it lies. Windows are compared as 64
 with a repeated window sort them.
 
 Defined cases: a null text counts as empty; it has no words and fails the base rule. Repeated rows are
-rated each, extra columns are ignored (``ledger`` keeps them under their names if asked), an empty table
-gives an empty result.
+rated each, extra columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +37,7 @@ RULES: list[tuple[str, str]] = [
 POLICIES: dict[str, list[str]] = {
     "base": ["few_words", "repeated_words"],
     "v1": [name for name, _ in RULES],
+    "v2": [name for name, _ in RULES if name not in ("symbols", "upper_case", "exclamations")],
 }
 
 
@@ -100,11 +100,13 @@ def apply_policy(led: DataFrame, policy: str) -> DataFrame:
     return led.withColumns({"base_failed": F.col("failed").bitwiseAND(base) != 0, "kept": F.col("failed").bitwiseAND(own) == 0})
 
 
-def ablations(led: DataFrame, policy: str) -> DataFrame:
-    """For each rule of a policy: documents that fail it, and those that would stay without it."""
-    n = {r: mask([r]) for r in POLICIES[policy]}
-    counts = led.groupBy(F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy]))).alias("bits")).agg(F.count(F.lit(1)).alias("docs"))
-    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(b).alias("bit")) for r, b in n.items()])).alias("r")
-    each = counts.select("bits", "docs", rules)
-    hit = F.col("bits").bitwiseAND(F.col("r.bit")) != 0
-    return each.groupBy(F.col("r.rule").alias("rule")).agg(F.sum(F.when(hit, F.col("docs")).otherwise(0)).alias("fails"), F.sum(F.when(F.col("bits") == F.col("r.bit"), F.col("docs")).otherwise(0)).alias("only_this"))
+def ablations(led: DataFrame, policies: list[str]) -> DataFrame:
+    """For each rule of each policy: documents that fail it, and those that would stay without it.
+
+    The ledger is counted once by its bits, of which there are at most 2 to the number of rules; all policies read those counts.
+    """
+    counts = led.groupBy("failed").agg(F.count(F.lit(1)).alias("docs"))
+    rules = [F.struct(F.lit(p).alias("policy"), F.lit(r).alias("rule"), F.lit(mask([r])).alias("bit"), F.lit(mask(POLICIES[p])).alias("mask")) for p in policies for r in POLICIES[p]]
+    each = counts.select("failed", "docs", F.explode(F.array(*rules)).alias("r")).select("failed", "docs", "r.*")
+    hit, alone = F.col("failed").bitwiseAND(F.col("bit")) != 0, F.col("failed").bitwiseAND(F.col("mask")) == F.col("bit")
+    return each.groupBy("policy", "rule").agg(F.sum(F.when(hit, F.col("docs")).otherwise(0)).alias("fails"), F.sum(F.when(alone, F.col("docs")).otherwise(0)).alias("only_this"))

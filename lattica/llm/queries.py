@@ -65,7 +65,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
-ORACLE_SQL["op3_quality_rules"] = r"""
+_LEDGER = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (
@@ -86,11 +86,28 @@ WITH d AS (
   SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (n_symbols > 0.1 * n_words)::BIGINT
     + 8 * (n_dup_lines > 0.3 * greatest(n_lines, 1))::BIGINT + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT
     + 32 * (n_upper > 0.5 * word_chars)::BIGINT + 64 * (n_marks > 0.2 * n_words)::BIGINT + 128 * (n_distinct < 0.1 * n_words)::BIGINT AS failed FROM m
-)
+)"""
+ORACLE_SQL["op3_quality_rules"] = _LEDGER + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
 
 
+@_query
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of op3 under two versions of the policy: what each rule drops, and what only it drops."""
+    from lattica.llm.quality_rules import ablations, ledger
+
+    led = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ablations(led, ["v1", "v2"])
+
+
+ORACLE_SQL["rule_ablations"] = _LEDGER + """
+, r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('duplicate_lines', 8), ('word_length', 16), ('upper_case', 32), ('exclamations', 64), ('few_distinct', 128)),
+o AS (SELECT 'v1' AS policy, 255 AS mask UNION ALL SELECT 'v2', 1 + 2 + 8 + 16 + 128)
+SELECT policy, rule, count(*) FILTER (WHERE failed & bit <> 0) AS fails, count(*) FILTER (WHERE failed & mask = bit) AS only_this FROM o JOIN r ON mask & bit <> 0, f GROUP BY 1, 2
+"""
+
+
 @_query
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.quality_classifier import quality_scores
