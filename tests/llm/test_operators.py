@@ -7,19 +7,22 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lattica.llm import bpe, packing
+from lattica.llm import bpe, common, exact_dedup, mixing, packing
 from lattica.llm.exact_dedup import drop_exact_copies, exact_groups
 from lattica.llm.html_extraction import extract, main_texts
 from lattica.llm.line_dedup import drop_boilerplate
 from lattica.llm.mixing import mix, mixed_documents
 from lattica.llm.packing import pack
 from lattica.llm.quality_classifier import isotonic, keep_good, quality_scores
-from lattica.llm.quality_rules import ablations, apply_policy, ledger
+from lattica.llm.quality_rules import POLICIES, RULES, ablations, apply_policy, ledger
 from lattica.llm.queries import ORACLE_SQL, QUERIES
 from lattica.llm.token_counts import token_counts
 from lattica.llm.toxicity import toxicity_scores
@@ -77,6 +80,21 @@ def test_drop_exact_copies(docs, none):
     assert drop_exact_copies(none).count() == 0
 
 
+@pytest.mark.parametrize(("fan_in", "held"), [(32, 1 << 23), (2, 64)])
+def test_repeated_slots_match_plain_counting(spark, monkeypatch, fan_in, held):
+    """Sparse and dense slots, many tasks merged a few at a time."""
+    monkeypatch.setattr(exact_dedup, "FAN_IN", fan_in)
+    monkeypatch.setattr(exact_dedup, "HELD_SLOTS", held)
+    monkeypatch.setattr(exact_dedup, "RANGE_BITS", 1 << 10)
+    for rows, bits in ((60, 1 << 13), (3000, 1 << 12)):
+        digests = [hashlib.sha256(str(i % (rows * 3 // 4)).encode()).digest() for i in range(rows)]
+        n = Counter(int(x) for s in exact_dedup._slots(pa.array(digests, pa.binary()), bits) for x in s)
+        table = spark.createDataFrame([(bytearray(x),) for x in digests], "_digest binary").repartition(9)
+        for least in (1, 2):
+            got = np.unpackbits(np.frombuffer(zlib.decompress(exact_dedup.repeated_slots(table, bits, least)), np.uint8))
+            assert set(np.flatnonzero(got).tolist()) == {k for k, v in n.items() if v >= least}
+
+
 def test_token_counts_match_library(docs, none):
     library = Tokenizer.from_file(BYTE)
     want = Counter((r.doc_id, len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
@@ -159,14 +177,17 @@ def test_quality_rules(docs, none):
     assert got == Counter((r.doc_id, *rule_counts(r.text)) for r in docs.collect())
     for r in led.collect():
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept)
-    fails = {r.rule: r for r in ablations(led, "v1").collect()}
-    assert fails["few_words"].fails == sum(r.n_words < 10 for r in led.collect())
+    bits = {name: 1 << i for i, (name, _) in enumerate(RULES)}
+    failed = [r.failed for r in led.collect()]
+    want = {(p, r): (sum(f & bits[r] != 0 for f in failed), sum(f & sum(bits[x] for x in POLICIES[p]) == bits[r] for f in failed)) for p in ("v1", "v2") for r in POLICIES[p]}
+    assert {(r.policy, r.rule): (r.fails, r.only_this) for r in ablations(led, ["v1", "v2"]).collect()} == want
     assert ledger(none).count() == 0
     assert not any(re.search("Python|Arrow|Pandas", x) for x in led._jdf.queryExecution().executedPlan().toString().splitlines())
 
 
-def test_line_dedup(docs, none):
-    got = drop_boilerplate(docs, "source", min_pages=2, ratio=0.1)
+@pytest.mark.parametrize("most", [1 << 21, 0])
+def test_line_dedup(docs, none, most):
+    got = drop_boilerplate(docs, "source", min_pages=2, ratio=0.1, most=most)
     assert set(docs.columns) <= set(got.columns)
     rows = docs.collect()
     pages, seen = Counter(r.source for r in rows), defaultdict(Counter)
@@ -175,7 +196,7 @@ def test_line_dedup(docs, none):
     bad = {(s, k) for s, c in seen.items() for k, n in c.items() if n >= 2 and n > 0.1 * pages[s]}
     want = Counter((r.doc_id, "\n".join(x for x in (r.text or "").split("\n") if (r.source, x.strip(" \t\r")) not in bad)) for r in rows)
     assert Counter((r.doc_id, r.text) for r in got.collect()) == want and any(k == "menu" for _, k in bad)
-    assert drop_boilerplate(none, "source").count() == 0
+    assert drop_boilerplate(none, "source", most=most).count() == 0
 
 
 def test_scores_of_odd_rows(docs, labels, none):
@@ -192,8 +213,6 @@ def test_scores_of_odd_rows(docs, labels, none):
 
 
 def test_isotonic_is_monotone():
-    import numpy as np
-
     curve = isotonic(np.array([4.0, 0, 4, 4, 0, 4]), np.array([1.0, 0, 0, 3, 0, 2]))
     assert (np.diff(curve) >= 0).all()
 
@@ -204,6 +223,25 @@ def test_mixing(docs, labels, none):
     assert mix(none, labels).count() == 0
     out = mixed_documents(docs, labels)
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
+    assert mixed_documents(none, labels).count() == 0 and keep_good(none, labels).count() == 0
+
+
+def test_mixing_delivers_its_targets(spark):
+    """Fitted and delivered shares against the targets, and the rates against plain projected gradient on the same posteriors."""
+    d = "/root/testdata/sf0.01"
+    mixed = mix(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).cache()
+    rows = mixed.collect()
+    p, n, rate, copies = (np.array([x for x in col]) for col in zip(*[((r.p_clean, r.p_toxic, r.p_junk), r.n_tokens, r.rate, r.copies) for r in rows], strict=True))
+    for r in mixing.shares(mixed).collect():
+        k = mixing.DOMAINS.index(r.domain)
+        assert r.target == pytest.approx(mixing.TARGETS[r.domain]) and r.fitted == pytest.approx((p[:, k] * n * rate).sum() / (n * rate).sum())
+        assert abs(r.fitted - r.target) < 2e-3 and abs(r.delivered - r.target) < 2e-2 and r.delivered == pytest.approx((p[:, k] * n * copies).sum() / (n * copies).sum())
+    want = np.array([mixing.TARGETS[x] for x in mixing.DOMAINS])
+    x, size = np.ones(len(n)), n / n.sum()
+    for _ in range(20_000):  # plain steps on the squared distance
+        x = np.clip(x - p @ (p.T @ (size * x) - want), 0, mixing.MAX_RATE)
+    assert np.abs(p.T @ (size * x) - want).max() < 2e-3 and np.abs(p.T @ (size * rate) - want).max() < 2e-3
+    assert (rate >= 0).all() and (rate <= mixing.MAX_RATE).all() and (np.abs(copies - rate) < 1.5).all()
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a = "<p>no</p>";</script></head><body><header class="site-header"><a href="/">Home</a></header>
@@ -239,6 +277,25 @@ def test_html_ratios_decide_inside_the_article():
     assert extract("<article><h1>Only this</h1></article>") == "Only this"
 
 
+def test_html_ratios_decide_without_lists_and_articles(monkeypatch):
+    """What no list of names knows: links, short notices and foreign columns go by the ratios of the whole page."""
+    from lattica.llm import html_extraction as h
+
+    long = ("A sentence, with words, that goes on. " * 12).strip()
+    noise = '<div class=x1><a href=1>One</a> <a href=2>Two</a></div>', '<div class=x2>Call now</div>', '<div class=x3><p>So true!</p></div>'
+    want = f"{long}\n\n{long}\n\nOf the column."
+    body = f"<p>{long}</p><p>{long}</p><p>Of the column.</p>"
+    assert extract(f"<body>{noise[0]}<div class=text>{body}</div></body>") == want
+    assert extract(f"<body>{''.join(noise)}<article>{body}</article><div class=x4><p>{long[:200]}</p></div></body>") == want
+    assert extract('<article><p class="meta-analysis">' + long + "</p><figure><figcaption>A caption.</figcaption></figure><p>" + long + "</p></article>").count("\n\n") in (1, 2)
+    monkeypatch.setattr(h, "BOILER", frozenset())
+    monkeypatch.setattr(h, "_boiler", lambda token: False)
+    page = f"<body><nav><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></nav><div class=ad>Buy now</div><article>{body}</article><footer>All ours</footer></body>"
+    assert extract(page) == want
+    monkeypatch.setattr(h, "SHARE", 0)
+    assert extract(page) != want
+
+
 def test_html_hidden_and_boilerplate_names_are_whole():
     text = ("A sentence, with words. " * 10).strip()
     for x in ('style="overflow:hidden"', 'title="hidden gems"', 'class="content no-sidebar"', 'class="has-sidebar"', 'class="page_with-sidebar"', 'class="post tag-news"', 'data-menu="hidden" class=text', 'data-class="sidebar"', 'style="backface-visibility:hidden"'):
@@ -251,6 +308,27 @@ def test_html_hidden_and_boilerplate_names_are_whole():
             assert extract(f"<{name} {x}><p>{text}</p></{name}>") == text
 
 
+def test_texts_larger_than_a_block(spark):
+    """One text of over a megabyte through every operator on documents, beside short ones."""
+    from lattica.llm.jaccard_join import jaccard_components
+
+    r = random.Random(1)
+    huge = " ".join(f"w{r.randrange(5000)}" for _ in range(220_000))
+    assert len(huge) > 2 * common.BLOCK_BYTES
+    rows = [(1, huge, "s"), (2, huge + " end", "s"), (3, "a short text of nine words that stands alone", "s"), (4, huge, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    assert {x.doc_id: x.n_tokens for x in token_counts(docs, BYTE).collect()} == {i: len(byte.encode(t, add_special_tokens=False).ids) for i, t, _ in rows}
+    assert {x.doc_id: x.n for x in pack(docs, WORD).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == {i: len(word.encode(t, add_special_tokens=False).ids) + 1 for i, t, _ in rows}
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_components(docs).collect()} == {i: (len({tuple(w[j:j + 3]) for j in range(len(w) - 2)}), 3 if i == 3 else 1) for i, t, _ in rows for w in [t.split()]}
+    assert {x.doc_id: x.keep_id for x in exact_groups(docs).collect()} == {1: 4, 2: 2, 3: 3, 4: 4}
+    assert {x.doc_id: x.n_words for x in ledger(docs).collect()} == {i: len(t.split()) for i, t, _ in rows}
+    assert drop_boilerplate(docs, "source").count() == 4 and mix(docs, labels).where("n_tokens > 200000").count() == 3
+    for f in (quality_scores, toxicity_scores):
+        assert all(0 <= x.score <= 1 for x in f(docs, labels).collect())
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     assert compare(spark, QUERIES[name], ORACLE_SQL[name]) is None
