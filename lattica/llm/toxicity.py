@@ -22,6 +22,7 @@ gives an empty result. Without labels the seed lexicon votes alone.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 
 import numpy as np
@@ -42,8 +43,10 @@ MAX_LABELLED, MOST_VOTERS = 20_000, 96
 PREFIXES = [0, 4, 5, 6, 7]
 LEAST_HITS, LEAST_ODDS, LEAST_GAIN = 5, 12.0, 4
 #: Patterns that the choice is made from, and buckets that texts of the sample are told apart by.
-CANDIDATES, TEXTS = 1000, 1 << 14
-ROUNDS, BINS = 4, 1024
+CANDIDATES, TEXTS = 1000, 1 << 30
+#: Rounds of estimation end once no coefficient moves by more than this share of the largest.
+#: ``MOST_ROUNDS`` only guards against estimates that swing for ever; a warning tells if it is met.
+STILL, MOST_ROUNDS, BINS = 0.02, 60, 1024
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -209,22 +212,29 @@ def label_model(votes: DataFrame, labelled: DataFrame, d: int) -> tuple[np.ndarr
         w, b0 = estimate(first)
     else:
         w, b0 = np.r_[np.ones(len(SEEDS)), np.zeros(d - len(SEEDS))] * 4, -2.0
-    for _ in range(ROUNDS):
+    for _ in range(MOST_ROUNDS):
         def expected(batch, w=w, b0=b0):
             x = column_matrix(batch.column(0), d)
             return moments(x, _sigmoid(x @ w + b0))
 
         s = summed(votes.select("votes"), expected, d + 2)
         if not len(s):
-            break
-        w, b0 = estimate(s)
+            return w, b0
+        before, (w, b0) = np.r_[w, b0], estimate(s)
+        if _still(before, np.r_[w, b0]):
+            return w, b0
+    warnings.warn("the label model did not settle", stacklevel=2)
     return w, b0
 
 
+def _still(before: np.ndarray, after: np.ndarray) -> bool:
+    return np.abs(after - before).max() <= STILL * np.abs(after).max()
+
+
 def linear_classifier(votes: DataFrame, w: np.ndarray, b0: float, d: int) -> np.ndarray:
     """Logistic regression on posterior labels by Newton steps; the last coefficient is the constant."""
     beta = np.zeros(d + 1)
-    for _ in range(ROUNDS):
+    for _ in range(MOST_ROUNDS):
         def step(batch, beta=beta):
             x = column_matrix(batch.column(0), d)
             z = np.c_[x, np.ones(len(x))]
@@ -233,9 +243,12 @@ def linear_classifier(votes: DataFrame, w: np.ndarray, b0: float, d: int) -> np.
 
         s = summed(votes.select("votes"), step, d + 3)
         if not len(s):
-            break
+            return beta
         ridge = 1e-3 * s[0, d + 2] * np.diag([1.0] * d + [1e-6])
-        beta = beta + np.linalg.solve(s[:, :d + 1] + ridge, s[:, d + 1] - ridge @ beta)
+        before, beta = beta, beta + np.linalg.solve(s[:, :d + 1] + ridge, s[:, d + 1] - ridge @ beta)
+        if _still(before, beta):
+            return beta
+    warnings.warn("the classifier did not settle", stacklevel=2)
     return beta
 
 
