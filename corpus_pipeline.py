@@ -1,14 +1,14 @@
 """A corpus from documents to packed sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that the one before kept. ``run`` writes
-each stage's rows as Parquet in the shared folder and reads them again for the next.
+each stage's rows as Parquet in the shared folder and reads them again for the next; the last but one is then deleted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm.common import materialize
+from lattica.llm.common import discard, materialize
 from lattica.llm.exact_dedup import drop_exact_copies
 from lattica.llm.jaccard_join import one_of_each_component
 from lattica.llm.mixing import mixed_documents
@@ -55,5 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
