@@ -72,7 +72,7 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, size: str, rows: int, how: str = "inner", most: int = 1000, least: int = 1000) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: str, size: str, rows: int, how: str = "inner", most: int = 1000, least: int = 100) -> DataFrame:
     """``left`` with ``right``, which has one row for each value of ``on`` and, as ``size``, how often ``left`` holds it.
 
     Values in more than one in ``most`` of the ``rows`` of ``left`` (and in more than ``least`` rows) are fewer than

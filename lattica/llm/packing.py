@@ -204,6 +204,10 @@ def plan(histogram: dict[int, int], limit: int) -> np.ndarray:
     return np.array(sorted(runs), np.int64).reshape(-1, 5)
 
 
+#: Rows (task, length, pieces before) that are broadcast, 24 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
 def pack(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
@@ -213,7 +217,8 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc
     runs = spark.sparkContext.broadcast(plan(histogram, limit))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = cut.join(offsets, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    bounded = F.broadcast(offsets) if by_task.count() <= BROADCAST_ROWS else offsets.hint("merge")
+    ranked = cut.join(bounded, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
 
     def run(batches):
         table = runs.value
