@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 #: Text bytes that a task handles as one numpy block; longer texts form blocks of their own.
 BLOCK_BYTES = 1 << 19
 #: Rows and bytes of one Arrow batch that a Python worker holds.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 U64 = np.uint64
 
 
@@ -110,7 +110,8 @@ def any_names(f):
 
 
 def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets of a string column; nulls are empty."""
+    """Bytes and row offsets of a string column; nulls are empty. What Arrow still holds of batches before goes back to the system."""
+    pa.default_memory_pool().release_unused()
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:

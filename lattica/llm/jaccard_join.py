@@ -494,6 +494,7 @@ def _cells(slim: DataFrame, rows: int, width: int, num: int, den: int, most_slot
         return _windows_by_exchange(slim, width, num, den)
     packed = slim.sparkSession.sparkContext.broadcast(shared_shingles(slim.select("text"), lambda batch: _block_sets(batch.column(0), width), SAMPLE_BITS, ranges, min(most_slots, slots)))
     table = materialize(_windows(slim, width, num, den, packed, ranges, min(most_slots, slots)))
+    packed.destroy()
     return table.select("doc_id", "key", "n"), table.where("window IS NOT NULL").select("key", "n", "window", "shingles")
 
 
